@@ -129,3 +129,16 @@ def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns; only doc_id travels beside the text."""
     out = remove_repeated_spans(docs.select("doc_id", "text"), is_scan=True)
     return out.select("doc_id", F.col("n_words"), F.col("n_removed"), F.col("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS c FROM g) WHERE c > 1),
+p AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w WHERE len(w) > 0),
+k AS (SELECT t.doc_id, count(*) AS n, count(p.i) AS lost, coalesce(string_agg(word, ' ' ORDER BY t.i) FILTER (p.i IS NULL), '') AS kept
+      FROM t LEFT JOIN p ON t.doc_id = p.doc_id AND t.i = p.i GROUP BY t.doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(lost, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
