@@ -1 +1,226 @@
+"""Registered queries of the profiler, and their SQL twins for another engine."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colsonde.functions.families import family_of
+from colsonde.functions.hashes import portable
+from colsonde.operators import cardinality, registers
+from colsonde.plans.report import AdaptiveCardinalityConfig
+from colsonde.sources.schema import discover_physical_schema
+from colsonde.vocabulary import RowCountMode
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+#: Columns whose text is the same in every engine, so that md5 hashes are too.
+PORTABLE = tuple(c for c in LINEITEM if c != "l_extendedprice")
+ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 QUERIES, ORACLES = {}, {}
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _union(template: str, values) -> str:
+    return " UNION ALL ".join(template.format(x) for x in values)
+
+
+def _md5_registers(column: str, table: str, p: int, more: str = "", where: str = "true") -> str:
+    """(more, register, rank) of md5 hashes."""
+    mask = (1 << (64 - p)) - 1
+    return (
+        f"SELECT {more} (h >> {64 - p})::INT AS register, max(CASE WHEN h & {mask}::UBIGINT = 0 THEN {65 - p} ELSE {65 - p} - length(bin(h & {mask}::UBIGINT)) END)::INT AS rank "
+        f"FROM (SELECT *, ('0x' || substr(md5({column}::VARCHAR), 1, 16))::UBIGINT AS h FROM {table} WHERE {column} IS NOT NULL AND {where}) GROUP BY ALL"
+    )
+
+
+def _md5_estimate(source: str, p: int, more: str = "") -> str:
+    """(more, zero_registers, branch, estimate rounded to 6 places)."""
+    m = 1 << p
+    return (
+        f"SELECT {more} zero_registers, CASE WHEN raw <= {2.5 * m} AND zero_registers > 0 THEN 'linear' ELSE 'raw' END AS branch, "
+        f"round(CASE WHEN raw <= {2.5 * m} AND zero_registers > 0 THEN {m} * ln({m}.0::DOUBLE / zero_registers) ELSE raw END, 6) AS estimate FROM ("
+        f"SELECT {more} ({m} - count(*))::BIGINT AS zero_registers, {registers.alpha(p) * m * m!r} / (sum(pow(2.0, -rank)) + {m} - count(*)) AS raw FROM ({source}) GROUP BY ALL)"
+    )
+
+
+def _estimate(df: DataFrame, column: str, p: int = 14, by: list | None = None) -> DataFrame:
+    h = portable().hash(F.col(column))
+    out = registers.estimated(registers.registers(df, h, p, by), p, by)
+    return out.select(*(by or []), "zero_registers", "branch", F.round("estimate", 6).alias("estimate"))
+
+
+@_query(_union("SELECT {0[0]}::INT AS position, '{0[1]}' AS name, '{0[2]}' AS family", [(i, c, "timestamp_ntz" if c == "l_shipdate" else "string" if c in ("l_returnflag", "l_linestatus") else "integer" if i < 4 else "floating") for i, c in enumerate(LINEITEM)]))
+def schema_columns_lineitem(spark, sf_dir):
+    schema = discover_physical_schema(_read(spark, sf_dir, "lineitem"))
+    return spark.createDataFrame([(c.position, c.column_name, family_of(c.native_dtype).value) for c in schema.columns], "position int, name string, family string")
+
+
+@_query(_union("SELECT '{0}' AS table_name, count(*)::BIGINT AS row_count, 'executed_query' AS source FROM {0}", TABLES))
+def row_count_exact(spark, sf_dir):
+    rows = []
+    for t in TABLES:
+        d = discover_physical_schema(_read(spark, sf_dir, t), row_count_mode=RowCountMode.EXACT).dimensions
+        rows.append((t, d.row_count, d.row_count_source.value))
+    return spark.createDataFrame(rows, "table_name string, row_count bigint, source string")
+
+
+_EVENTS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@_query(_union("SELECT '{0}' AS \"column\", count(*)::BIGINT AS row_count, count({0})::BIGINT AS non_null_count, (count(*) - count({0}))::BIGINT AS null_count, count(DISTINCT {0})::BIGINT AS distinct_count FROM events", _EVENTS))
+def row_metrics_events(spark, sf_dir):
+    report = cardinality.profile_cardinality(_read(spark, sf_dir, "events").select(*_EVENTS), config=AdaptiveCardinalityConfig(policy="exact_only"))
+    return report.as_frame(spark).select("column", "row_count", "non_null_count", "null_count", "distinct_count")
+
+
+@_query("""
+WITH v AS (SELECT CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 'NaN'::DOUBLE WHEN 3 THEN -0.0::DOUBLE WHEN 4 THEN 0.0::DOUBLE ELSE l_quantity END AS x FROM lineitem)
+SELECT count(*)::BIGINT AS row_count, (count(x) FILTER (NOT isnan(x)))::BIGINT AS non_null_count, (count(*) - count(x) FILTER (NOT isnan(x)))::BIGINT AS null_count,
+       (count(DISTINCT CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE x END) FILTER (NOT isnan(x)))::BIGINT AS distinct_count FROM v""")
+def null_nan_zero_semantics(spark, sf_dir):
+    n = F.col("l_linenumber")
+    x = F.when(n == 1, F.lit(None)).when(n == 2, F.lit(float("nan"))).when(n == 3, F.lit(-0.0)).when(n == 4, F.lit(0.0)).otherwise(F.col("l_quantity"))
+    report = cardinality.profile_cardinality(_read(spark, sf_dir, "lineitem").select(x.cast("double").alias("x")))
+    return report.as_frame(spark).select("row_count", "non_null_count", "null_count", "distinct_count")
+
+
+@_query(_union("SELECT '{0}' AS \"column\", count(DISTINCT {0})::BIGINT AS distinct_count, 'exact' AS mode FROM lineitem", LINEITEM))
+def exact_distinct_lineitem(spark, sf_dir):
+    config = AdaptiveCardinalityConfig(policy="exact_only")
+    return cardinality.profile_cardinality(_read(spark, sf_dir, "lineitem"), config=config).as_frame(spark).select("column", "distinct_count", "mode")
+
+
+@_query(_union("SELECT '{0}' AS \"column\", least(count(DISTINCT {0}), 101)::BIGINT AS unique_seen, count(DISTINCT {0}) > 100 AS promoted FROM lineitem", LINEITEM))
+def bounded_distinct_threshold(spark, sf_dir):
+    report = cardinality.profile_cardinality(_read(spark, sf_dir, "lineitem"), config=AdaptiveCardinalityConfig(exact_unique_threshold=100))
+    rows = [(c.column, min(c.result.unique_seen, 101), c.result.promotion.occurred) for c in report.columns]
+    return spark.createDataFrame(rows, "column string, unique_seen bigint, promoted boolean")
+
+
+_NUMBERS = LINEITEM[:8]
+
+
+@_query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", CASE WHEN n > 1000 AND b > 1900 THEN 'exact_unique_threshold_and_memory_budget' WHEN n > 1000 THEN 'exact_unique_threshold'
+  WHEN b > 1900 THEN 'exact_memory_budget' END AS reason FROM (SELECT count(DISTINCT {c}) AS n, ceil(least(count(DISTINCT {c}), 1001) * 32 * 1.25) AS b FROM lineitem)""" for c in _NUMBERS))
+def promotion_reason(spark, sf_dir):
+    config = AdaptiveCardinalityConfig(exact_unique_threshold=1000, exact_memory_budget_bytes=1900)
+    report = cardinality.profile_cardinality(_read(spark, sf_dir, "lineitem").select(*_NUMBERS), config=config)
+    rows = [(c.column, c.result.promotion.reason and c.result.promotion.reason.value) for c in report.columns]
+    return spark.createDataFrame(rows, "column string, reason string")
+
+
+@_query(_md5_registers("l_orderkey", "lineitem", 14))
+def hll_registers_orderkey(spark, sf_dir):
+    return registers.registers(_read(spark, sf_dir, "lineitem"), portable().hash(F.col("l_orderkey")))
+
+
+def _register_estimates():
+    for name, table, column, p in (
+        ("hll_estimate_orderkey", "lineitem", "l_orderkey", 14), ("hll_estimate_custkey", "orders", "o_custkey", 14),
+        ("hll_estimate_strings", "pages", "url", 12), ("hll_linear_counting_branch", "lineitem", "l_suppkey", 10),
+    ):
+        QUERIES[name] = lambda spark, sf_dir, table=table, column=column, p=p: _estimate(_read(spark, sf_dir, table), column, p)
+        ORACLES[name] = _md5_estimate(_md5_registers(column, table, p), p)
+
+
+_register_estimates()
+_SWEEP = (4, 5, 6, 10, 12, 14)
+
+
+@_query(" UNION ALL ".join(f"SELECT {p}::INT AS precision, {registers.relative_standard_error(p)!r}::DOUBLE AS rse, * FROM ({_md5_estimate(_md5_registers('l_orderkey', 'lineitem', p), p)})" for p in _SWEEP))
+def hll_precision_sweep(spark, sf_dir):
+    df = _read(spark, sf_dir, "lineitem").select("l_orderkey")
+    out = None
+    for p in _SWEEP:
+        one = _estimate(df, "l_orderkey", p).select(F.lit(p).alias("precision"), F.lit(registers.relative_standard_error(p)).alias("rse"), "zero_registers", "branch", "estimate")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query(_md5_registers("l_partkey", "lineitem", 12))
+def hll_merge_union(spark, sf_dir):
+    df, contract = _read(spark, sf_dir, "lineitem"), portable()
+    early, late = (registers.Sketch.of(df.where(c), "l_partkey", 12, contract) for c in ("l_linenumber <= 3", "l_linenumber >= 3"))
+    return early.merge(late).table
+
+
+@_query(_md5_estimate(_md5_registers("user_id", "events", 12, "date_trunc('week', ts)::DATE AS week,"), 12, "week,"))
+def hll_rollup_events_daily(spark, sf_dir):
+    df = _read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    daily = registers.registers(df, portable().hash(F.col("user_id")), 12, ["day"])
+    weekly = registers.merged(daily.withColumn("week", F.trunc("day", "week")), ["week"])
+    return registers.estimated(weekly, 12, ["week"]).select("week", "zero_registers", "branch", F.round("estimate", 6).alias("estimate"))
+
+
+def _adaptive(table: str, columns, threshold: int) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CASE WHEN n > {threshold} THEN 'hll' ELSE 'exact' END AS mode, CASE WHEN n > {threshold} THEN round_even(estimate, 0)::BIGINT ELSE n END AS distinct_count
+        FROM (SELECT count(DISTINCT {c})::BIGINT AS n FROM {table}), ({_md5_estimate(_md5_registers(c, table, 14), 14)})"""
+        for c in columns
+    )
+
+
+@_query(_adaptive("lineitem", PORTABLE, 5000))
+def adaptive_profile_lineitem(spark, sf_dir):
+    config = AdaptiveCardinalityConfig(exact_unique_threshold=5000, hash_configuration=portable())
+    return cardinality.profile_cardinality(_read(spark, sf_dir, "lineitem").select(*PORTABLE), config=config).as_frame(spark).select("column", "mode", "distinct_count")
+
+
+@_query(_adaptive("orders", ORDERS, 100))
+def adaptive_profile_orders_forced(spark, sf_dir):
+    config = AdaptiveCardinalityConfig(exact_unique_threshold=100, hash_configuration=portable())
+    return cardinality.profile_cardinality(_read(spark, sf_dir, "orders").select(*ORDERS), config=config).as_frame(spark).select("column", "mode", "distinct_count")
+
+
+@_query("""SELECT 'vec_id' AS "column", 'ok' AS status, count(*)::BIGINT AS row_count, count(DISTINCT vec_id)::BIGINT AS distinct_count FROM embeddings
+UNION ALL SELECT 'embedding', 'unsupported', count(*)::BIGINT, NULL FROM embeddings UNION ALL SELECT 'label', 'ok', count(*)::BIGINT, count(DISTINCT label)::BIGINT FROM embeddings""")
+def unsupported_isolation_embeddings(spark, sf_dir):
+    return cardinality.profile_cardinality(_read(spark, sf_dir, "embeddings")).as_frame(spark).select("column", "status", "row_count", "distinct_count")
+
+
+@_query(_union("SELECT '{0}' AS \"column\", round(count(DISTINCT {0})::DOUBLE / count({0}), 9) AS distinct_ratio, round(1 - count(DISTINCT {0})::DOUBLE / count({0}), 9) AS duplicate_ratio FROM orders", ORDERS))
+def distinct_and_duplicate_ratio(spark, sf_dir):
+    report = cardinality.profile_cardinality(_read(spark, sf_dir, "orders").select(*ORDERS), config=AdaptiveCardinalityConfig(policy="exact_only"))
+    rows = [(c.column, round(c.result.distinct_ratio, 9), round(c.result.duplicate_ratio, 9)) for c in report.columns]
+    return spark.createDataFrame(rows, "column string, distinct_ratio double, duplicate_ratio double")
+
+
+@_query(f"""SELECT round(abs(estimate - n) / n, 6) AS relative_error, abs(estimate - n) / n <= 4 * {registers.relative_standard_error(14)!r} AS within
+FROM (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem), ({_md5_estimate(_md5_registers("l_orderkey", "lineitem", 14), 14)})""")
+def error_bounds(spark, sf_dir):
+    df = _read(spark, sf_dir, "lineitem")
+    n = df.agg(F.count_distinct("l_orderkey")).first()[0]
+    error = F.abs(F.col("estimate") - n) / n
+    return _estimate(df, "l_orderkey").select(F.round(error, 6).alias("relative_error"), (error <= 4 * registers.relative_standard_error(14)).alias("within"))
+
+
+@_query("""
+WITH o AS (SELECT l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem),
+f AS (SELECT l_partkey, min(pos) AS pos FROM o GROUP BY 1), c AS (SELECT pos, row_number() OVER (ORDER BY pos) AS n FROM f)
+SELECT min(pos)::BIGINT AS row_position, (min(pos) + 1)::BIGINT AS non_null_position, min(n)::BIGINT AS unique_count, ceil(min(n) * 32 * 1.25)::BIGINT AS state_bytes, 'exact_unique_threshold' AS reason FROM c WHERE n > 100""")
+def promotion_position_ordered(spark, sf_dir):
+    df = _read(spark, sf_dir, "lineitem")
+    return cardinality.promotion_position(df, "l_partkey", ["l_orderkey", "l_linenumber"], AdaptiveCardinalityConfig(exact_unique_threshold=100))
+
+
+@_query("SELECT 'embeddings' AS table_name, 3::BIGINT AS column_count, 2::BIGINT AS successful, 1::BIGINT AS unsupported, 1::BIGINT AS warnings UNION ALL SELECT 'orders', 6, 6, 0, 0")
+def profile_report_summary(spark, sf_dir):
+    rows = []
+    for t in ("embeddings", "orders"):
+        r = cardinality.profile_cardinality(_read(spark, sf_dir, t))
+        rows.append((t, r.column_count, r.successful_column_count, r.unsupported_column_count, len(r.warnings)))
+    return spark.createDataFrame(rows, "table_name string, column_count bigint, successful bigint, unsupported bigint, warnings bigint")
