@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from colsonde.llm import common
 
 #: Bytes of text in a block, at which it is closed (it may exceed this by one row).
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Hashes that one counting task group should hold.
 GROUP_HASHES = 1 << 18
 
