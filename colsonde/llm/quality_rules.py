@@ -40,7 +40,7 @@ SKETCH_BITS = 6
 
 
 def base_counts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and __lines added.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, __lines and __row added.
 
     All are found within the row: 3-word windows by sorting the row's own window hashes.
     """
@@ -65,6 +65,8 @@ def base_counts(docs: DataFrame, column: str = "text") -> DataFrame:
         (F.size("__full") - F.size(F.array_distinct("__full"))).cast("bigint").alias("n_dup_lines"),
         F.coalesce(F.size(covered), F.lit(0)).cast("bigint").alias("n_repeat_words"),
         F.size("__full").cast("bigint").alias("__lines"),
+        # A barrier: filters on the counts would else be pushed below them and repeat them all.
+        F.monotonically_increasing_id().alias("__row"),
     )
 
 
@@ -95,7 +97,7 @@ def sketch(counted: DataFrame) -> DataFrame:
     """
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), _rounded(v).alias("cell")) for k, v in _measures().items()]))
     return (
-        counted.where(~_base_failed())
+        counted.where(~_base_failed() & (F.col("__row") >= 0))
         .select("lang", "source", cells.alias("c"))
         .groupBy("lang", "source", "c.measure", "c.cell")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -131,13 +133,13 @@ def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
     """``counted`` with base_failed and kept: the joined filter."""
     limits = limits.withColumnRenamed("lang", "__lang").withColumnRenamed("source", "__source")
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
-    passed = F.lit(True)
+    passed = F.col("__row") >= 0
     for k, value in _measures().items():
         passed = passed & (value <= F.col(f"__hi_{k}"))
         if FENCES[k].low:
             passed = passed & (value >= F.col(f"__lo_{k}"))
     out = joined.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(passed, F.lit(False)))
-    return out.drop(*limits.columns)
+    return out.drop(*limits.columns, "__row")
 
 
 def apply_rules(docs: DataFrame, column: str = "text") -> DataFrame:
