@@ -24,7 +24,8 @@ TOOLS = (
 
 
 def tool_table(spark, tools=TOOLS) -> DataFrame:
-    return spark.createDataFrame(list(tools), "name string, arg string, type string, required boolean")
+    rows = ", ".join(f"('{name}', '{arg}', '{kind}', {str(required).lower()})" for name, arg, kind, required in tools)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS tools(name, arg, type, required)")
 
 
 def _looks_like(text: Column, key: str) -> Column:
