@@ -161,8 +161,8 @@ def post(docs: DataFrame, hashes: Callable, bits: int, short: bool, with_counts:
         ], schema=_ANSWER)
 
     path = common.scratch(spark, label)
-    mail = docs.mapInArrow(send, _MAIL_SQL)
-    answers = mail.groupBy("bucket").applyInArrow(count, _ANSWER_SQL)
+    mail = docs.mapInArrow(common.tidy(send), _MAIL_SQL)
+    answers = mail.groupBy("bucket").applyInArrow(common.tidy_group(count), _ANSWER_SQL)
     answers.repartition("part").write.partitionBy("part").parquet(path)
     return path
 

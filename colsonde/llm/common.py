@@ -70,6 +70,45 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Hand memory that this worker has freed back to the system, for the executor's other processes."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """``run``, a function for mapInArrow, with its memory given back when a task's rows end.
+
+    Idle workers outlive their task, so what they keep would count against the next stage.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def tidy_group(of, least: int = 1 << 20):
+    """``of``, a function for applyInArrow, with memory given back after each group of ``least`` bytes."""
+
+    def whole(group):
+        out = of(group)
+        if group.nbytes >= least:
+            give_back()
+        return out
+
+    return whole
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, as it may not be installed there."""
     app = spark.sparkContext.applicationId

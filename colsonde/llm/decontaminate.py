@@ -187,7 +187,7 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = 13, column: str
                         columns[at[column_name]] = pa.array(values, slab.schema.field(column_name).type)
                     yield pa.RecordBatch.from_arrays(columns, names=slab.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(common.tidy(run), schema)
     return out.drop("__text")
 
 

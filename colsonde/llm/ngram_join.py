@@ -139,7 +139,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
                         least.append(min(x["matches"], y["matches"]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(least, pa.int32())], names=["a", "b", "least"])
 
-    met = lists.select("l").mapInArrow(pairs, "a binary, b binary, least int")
+    met = lists.select("l").mapInArrow(common.tidy(pairs), "a binary, b binary, least int")
     short = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
     return long.unionByName(short)
 
@@ -192,7 +192,7 @@ def _compare(sets: DataFrame, clusters: DataFrame, per_cent: int) -> DataFrame:
         tree = forest(pairs[pairs[:, 0] != pairs[:, 1]], len(nodes))
         return pa.table({"a": pa.array([nodes[i] for i, _ in tree], pa.binary()), "b": pa.array([nodes[j] for _, j in tree], pa.binary())})
 
-    return payload.groupBy("component", "cell").applyInArrow(verify, "a binary, b binary")
+    return payload.groupBy("component", "cell").applyInArrow(common.tidy_group(verify), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str = "doc_id", column: str = "text", is_scan: bool = False) -> DataFrame:
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
                 pa.array(out["tokens"], pa.list_(pa.int64())), pa.array([block >> 24] * size, pa.int32()), pa.array([block] * size, pa.int64()), pa.array(range(size), pa.int32()),
             ], names=["doc_id", "n", "node", "matches", "tokens", "part", "block", "at"]).to_batches()
 
-    rows = common.settle(source.mapInArrow(prefixes, _PREFIX.format(kind=kind)), "join-prefixes")
+    rows = common.settle(source.mapInArrow(common.tidy(prefixes), _PREFIX.format(kind=kind)), "join-prefixes")
     common.discard(counted)
     place = F.struct("part", "block", "at")
     reps = rows.where("node IS NOT NULL").groupBy("node").agg(
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
                 some = range(lo, min(lo + 256, len(at)))
                 yield pa.RecordBatch.from_arrays([pa.array([found[at[i]] for i in some], pa.binary()), pa.array([grams[offsets[i] : offsets[i + 1]].tobytes() for i in some], pa.binary())], names=["node", "tokens"])
 
-    sets = source.select("text").mapInArrow(fetch, "node binary, tokens binary")
+    sets = source.select("text").mapInArrow(common.tidy(fetch), "node binary, tokens binary")
     links = common.settle(_compare(sets, wanted.select("node", "component", "n"), per_cent), "join-links")
     joined = components(links)
     labelled = reps.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -332,7 +332,7 @@ def keep_one(docs: DataFrame, n: int = 5, per_cent: int = 80, is_scan: bool = Fa
             if at:
                 yield from rows.take(pa.array(at, pa.int64())).to_batches()
 
-    return source.mapInArrow(run, source.schema)
+    return source.mapInArrow(common.tidy(run), source.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

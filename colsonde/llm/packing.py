@@ -218,9 +218,6 @@ class Packer:
         self.sentences = self.sentences[self.sentences > self.base]
 
 
-_known: dict[str, WordTokens] = {}
-
-
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, column: str = "text", key: str = "doc_id") -> DataFrame:
     """Pack documents, in their order, into sequences of at most ``size`` token ids.
 
@@ -246,9 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, column: str = "text"
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer not in _known:
-            _known[tokenizer] = WordTokens(tokenizer)
-        words, packer = _known[tokenizer], Packer(size)
+        words, packer = WordTokens(tokenizer), Packer(size)
         first = TaskContext.get().partitionId() << 40
         key_type = None
 
@@ -270,7 +265,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, column: str = "text"
         if key_type is not None:
             yield from rows(packer.take(True))
 
-    out = source.mapInArrow(run, f"__key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    out = source.mapInArrow(common.tidy(run), f"__key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("__key", key)
 
 

@@ -67,7 +67,7 @@ def measure(docs: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc
                 rows = [statistics((x or "").encode()) for x in slab.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*slab.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "__f"])
 
-    return source.mapInArrow(run, f"{head}, __f array<double>")
+    return source.mapInArrow(common.tidy(run), f"{head}, __f array<double>")
 
 
 @dataclass

@@ -122,7 +122,7 @@ def remove_repeated_spans(docs: DataFrame, window: int = 35, column: str = "text
 
     carried = source.withColumn("__text", common.text_of(column))
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in source.schema)
-    return carried.mapInArrow(cut, f"{schema}, {_OUT}")
+    return carried.mapInArrow(common.tidy(cut), f"{schema}, {_OUT}")
 
 
 def digest(docs: DataFrame) -> DataFrame:
