@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsonde.llm import blocks, common
 from colsonde.llm.components import components
-from colsonde.llm.wordhash import _spread, window_hashes, word_hashes
+from colsonde.llm.wordhash import SLAB, _spread, window_hashes, word_hashes
 
 #: Prefixes are lengthened by at most so many tokens less one.
 MOST_MATCHES = 4
@@ -24,7 +25,19 @@ _PREFIX = "doc_id {kind}, n bigint, node binary, matches int, tokens array<bigin
 
 
 def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of each text in turn, offsets of the texts)."""
+    """(sorted distinct shingle hashes of each text in turn, offsets of the texts), by slabs of texts."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64) + 1)
+    grams, sizes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB, "right")))
+        found, offsets = _slab_sets(texts.slice(at, to - at), n)
+        grams.append(found)
+        sizes.append(np.diff(offsets))
+        at = to
+    return np.concatenate(grams), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _slab_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     h, offsets = word_hashes(texts, fold=True)
     counts = np.diff(offsets)
     grams = window_hashes(h, n)
