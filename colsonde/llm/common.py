@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch between Spark and a worker; whole batches are held on both sides.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own_base: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -109,8 +113,19 @@ def tidy_group(of, least: int = 1 << 20):
     return whole
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES, unless the session sets their bound itself.
+
+    By default a batch is 10,000 rows: of texts that is tens of megabytes, doubled while they
+    are gathered, for each running task. The setting stays, as frames are run after we return.
+    """
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, as it may not be installed there."""
+    small_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
