@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node of ``edges`` (a, b).
 
     Large-star and small-star rounds until nothing changes, each settled in the shared folder.
-    Minima are aggregated before any join, so a node of very many links is no hot group.
+    Minima are aggregated map-side, but the edges of a node of very many links do meet in one
+    key of the join after that, which only adaptive skew joins split.
     """
     edges = common.settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(edges)
