@@ -1,23 +1,28 @@
 """Counting of hashes over the whole corpus without moving texts.
 
-A *block* is a bounded run of rows within one scan partition. Every block sends each of its
-distinct hashes once, packed by hash range; the ranges are counted by grouped tasks of a size
-that the input sets; and each block gets back, in a file of its own partition, those of its
+A *block* is a bounded run of adjacent rows of one file. Every block sends each of its distinct
+hashes once, packed by hash range; the ranges are counted by grouped tasks of a size that the
+input sets; and each block gets back, in a folder of its own stretch of the file, those of its
 hashes that occur at least twice. A hash held by a third of all documents costs an entry a
 block, not one a document, so there are no hot groups.
 
-Blocks are named by partition and position, so all passes must scan the same rows in the same
-order: the input has to be a plain file scan (see :func:`stable`).
+Blocks are named by file and row numbers, which no scan can change. How Spark deals files over
+partitions does change from pass to pass: it follows the cores registered at the time. So a
+block takes the answers of all blocks that it shares rows with. Those of other rows among them
+do no harm, since what is said of a hash holds for the whole corpus. The input has to be a plain
+scan of Parquet files (see :func:`stable`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colsonde.llm import common
@@ -27,49 +32,82 @@ BLOCK_BYTES = 12 << 20
 #: Hashes that one counting task group should hold.
 GROUP_HASHES = 1 << 18
 
-_MAIL = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("many", pa.binary())])
-_MAIL_SQL = "bucket int, part int, block bigint, keys binary, checks binary, many binary"
-_ANSWER = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_ANSWER_SQL = "part int, block bigint, bucket int, keys binary, counts binary"
+#: Columns that name a row: its file's hash and its number in the file.
+FILE, ROW = "__block_file", "__block_row"
+
+_MAIL = pa.schema([("bucket", pa.int32()), ("part", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("many", pa.binary())])
+_MAIL_SQL = "bucket int, part string, low bigint, high bigint, keys binary, checks binary, many binary"
+_ANSWER = pa.schema([("part", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ANSWER_SQL = "part string, low bigint, high bigint, bucket int, keys binary, counts binary"
+
+
+class Block(NamedTuple):
+    """Rows ``low`` to ``high`` of a file, both included, in its stretch ``part``."""
+
+    file: int
+    part: str
+    low: int
+    high: int
 
 
 def stable(docs: DataFrame) -> DataFrame:
-    """A copy whose scans always see the same rows in the same partitions."""
+    """A copy that is a plain scan, so that its rows can be named."""
     return common.settle(docs, "docs")
 
 
-def text_bytes(docs: DataFrame, column: str = "text") -> int:
-    return docs.agg(F.sum(F.octet_length(common.text_of(column)))).first()[0] or 0
+def named(docs: DataFrame) -> DataFrame:
+    """``docs``, a plain scan of Parquet files, with the names of its rows added."""
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+
+
+def measure(docs: DataFrame, column: str = "text") -> tuple[int, int]:
+    """(log2 of the number of hash ranges for the words of this input, rows of a stretch of a file).
 
+    A stretch holds three quarters of a block's bytes on average, so most are one block.
+    """
+    size, rows = docs.agg(F.sum(F.octet_length(common.text_of(column)) + 1), F.count(F.lit(1))).first()
+    size, rows = size or 0, max(1, rows)
+    return max(4, int(size // 6 // GROUP_HASHES).bit_length()), max(1, BLOCK_BYTES * 3 // 4 * rows // max(1, size))
+
+
+def part_of(file: str, row: str, stretch: int) -> Column:
+    """The stretch of a named row, as in :class:`Block`."""
+    return F.concat_ws("-", F.hex(file), F.floor(F.col(row) / stretch).cast("string"))
 
-def range_bits(docs: DataFrame, column: str = "text") -> int:
-    """log2 of the number of hash ranges for the words of this input."""
-    return max(4, int(text_bytes(docs, column) // 6 // GROUP_HASHES).bit_length())
 
+def runs(batches: Iterator[pa.RecordBatch], stretch: int, column: str = "text") -> Iterator[tuple[Block, pa.Table]]:
+    """Blocks of this task, as (name, rows without their names): cut by row, so batch sizes have no effect."""
+    held, size, file, low, high = [], 0, 0, 0, -1
 
-def runs(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[int, pa.Table]]:
-    """Blocks of this task, as (id, rows): cut by row, so batch sizes have no effect."""
-    from pyspark import TaskContext
+    def closed() -> tuple[Block, pa.Table]:
+        name = Block(file, f"{file & 0xFFFFFFFFFFFFFFFF:X}-{low // stretch}", low, high)
+        return name, pa.Table.from_batches(held).drop_columns([FILE, ROW])
 
-    part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
         lengths = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64) + 1
-        at = 0
-        while at < batch.num_rows:
-            total = size + np.cumsum(lengths[at:])
-            stop = int(np.searchsorted(total, BLOCK_BYTES))
-            to = min(at + stop + 1, batch.num_rows)
-            held.append(batch.slice(at, to - at))
-            size = int(total[to - at - 1])
-            at = to
-            if size >= BLOCK_BYTES:
-                yield (part << 24) | seq, pa.Table.from_batches(held)
-                seq, held, size = seq + 1, [], 0
+        files, rows = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in (FILE, ROW))
+        new = (files[1:] != files[:-1]) | (rows[1:] != rows[:-1] + 1) | (rows[1:] % stretch == 0)
+        for at, end in pairwise([0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]):
+            row = int(rows[at])
+            if held and (files[at] != file or row != high + 1 or row % stretch == 0):
+                yield closed()
+                held, size = [], 0
+            file = int(files[at])
+            while at < end:
+                total = size + np.cumsum(lengths[at:end])
+                to = min(at + int(np.searchsorted(total, BLOCK_BYTES)) + 1, end)
+                low = low if held else int(rows[at])
+                held.append(batch.slice(at, to - at))
+                size, high = int(total[to - at - 1]), int(rows[to - 1])
+                at = to
+                if size >= BLOCK_BYTES:
+                    yield closed()
+                    held, size = [], 0
     if held:
-        yield (part << 24) | seq, pa.Table.from_batches(held)
+        yield closed()
 
 
 def one_column(table: pa.Table, name: str) -> pa.Array:
@@ -93,10 +131,10 @@ def distinct(keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, n
     return keys[first], None if checks is None else checks[first], counts
 
 
-def post(docs: DataFrame, hashes: Callable, bits: int, short: bool, with_counts: bool, label: str, state: str | None = None) -> str:
-    """Count hashes and return the path of the answers.
+def post(docs: DataFrame, hashes: Callable, bits: int, stretch: int, short: bool, with_counts: bool, label: str, state: str | None = None) -> str:
+    """Count hashes of ``docs``, whose rows are named, and return the path of the answers.
 
-    ``hashes(block id, rows, answers)`` gives (uint64 keys, uint32 checks or None), where
+    ``hashes(block, rows, answers)`` gives (uint64 keys, uint32 checks or None), where
     ``answers`` are the block's answers of the earlier exchange ``state``. ``short`` sends 32
     bits below the range's own, enough for statistics; else all 64, and the checks.
     """
@@ -104,7 +142,7 @@ def post(docs: DataFrame, hashes: Callable, bits: int, short: bool, with_counts:
     common.ship(spark)
 
     def send(batches):
-        for block, rows in runs(batches):
+        for block, rows in runs(batches, stretch):
             keys, checks = hashes(block, rows, receive(state, block, bits) if state else None)
             keys, checks, counts = distinct(keys, checks)
             cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -119,7 +157,7 @@ def post(docs: DataFrame, hashes: Callable, bits: int, short: bool, with_counts:
                     out.append((b, packed[lo:hi].tobytes(), None if checks is None else checks[lo:hi].tobytes(), more.tobytes()))
                 bucket, k, c, m = zip(*out, strict=True)
                 n = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([block >> 24] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary()), pa.array(m, pa.binary())], schema=_MAIL)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([block.part] * n, pa.string()), pa.array([block.low] * n, pa.int64()), pa.array([block.high] * n, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary()), pa.array(m, pa.binary())], schema=_MAIL)
 
     width = np.uint32 if short else np.uint64
 
@@ -154,7 +192,8 @@ def post(docs: DataFrame, hashes: Callable, bits: int, short: bool, with_counts:
         some = np.flatnonzero(np.diff(cuts)).tolist()
         return pa.Table.from_arrays([
             group.column("part").take(pa.array(some, pa.int64())),
-            group.column("block").take(pa.array(some, pa.int64())),
+            group.column("low").take(pa.array(some, pa.int64())),
+            group.column("high").take(pa.array(some, pa.int64())),
             group.column("bucket").take(pa.array(some, pa.int64())),
             pa.array([keys[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()),
             pa.array([each[cuts[i] : cuts[i + 1]].tobytes() if with_counts else None for i in some], pa.binary()),
@@ -167,19 +206,22 @@ def post(docs: DataFrame, hashes: Callable, bits: int, short: bool, with_counts:
     return path
 
 
-def receive(path: str, block: int, bits: int, short: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Sorted keys that occur elsewhere too (or again in the block), and their counts if kept."""
+def receive(path: str, block: Block, bits: int, short: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sorted distinct keys that occur elsewhere too (or again in the block), and their counts if kept.
+
+    All such keys of the block's rows are among them, whatever blocks the sending pass had.
+    """
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     files, root = common.open_fs(path)
-    found = [x.path for x in files.get_file_info(fs.FileSelector(f"{root}/part={block >> 24}", allow_not_found=True)) if x.path.endswith(".parquet")]
+    found = [x.path for x in files.get_file_info(fs.FileSelector(f"{root}/part={block.part}", allow_not_found=True)) if x.path.endswith(".parquet")]
     keys, counts = [], []
     for name in found:
         with files.open_input_file(name) as f:
-            for batch in pq.ParquetFile(f).iter_batches(256, columns=["block", "bucket", "keys", "counts"]):
-                for b, bucket, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                    if b == block:
+            for batch in pq.ParquetFile(f).iter_batches(256, columns=["low", "high", "bucket", "keys", "counts"]):
+                for low, high, bucket, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    if low <= block.high and high >= block.low:
                         x = np.frombuffer(k, np.uint32 if short else np.uint64)
                         if short:
                             x = (np.uint64(bucket) << np.uint64(64 - bits)) | (x.astype(np.uint64) << np.uint64(32 - bits))
@@ -189,8 +231,8 @@ def receive(path: str, block: int, bits: int, short: bool = False) -> tuple[np.n
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     out = np.concatenate(keys)
-    order = np.argsort(out)
-    return out[order], np.concatenate(counts)[order] if counts else None
+    out, first = np.unique(out, return_index=True)
+    return out, np.concatenate(counts)[first] if counts else None
 
 
 def short_key(h: np.ndarray, bits: int) -> np.ndarray:

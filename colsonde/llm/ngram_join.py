@@ -21,7 +21,7 @@ CHUNK = 128
 #: Cells of the matrix of a comparison, and so its memory.
 CELLS = 4 << 20
 
-_PREFIX = "doc_id {kind}, n bigint, node binary, matches int, tokens array<bigint>, part int, block bigint, at int"
+_PREFIX = "doc_id {kind}, n bigint, node binary, matches int, tokens array<bigint>, file bigint, at bigint"
 
 
 def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def _compare(sets: DataFrame, clusters: DataFrame, per_cent: int) -> DataFrame:
     return payload.groupBy("component", "cell").applyInArrow(common.tidy_group(verify), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str = "doc_id", column: str = "text", is_scan: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str = "doc_id", column: str = "text", is_scan: bool = False, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(key, n_shingles, component_id, __class, __copy) of every row.
 
     Words are runs between ASCII white space with A-Z lower-cased; a text's set is its distinct
@@ -225,23 +225,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
     A null, empty or blank text has no set and is linked with nothing: its component_id is its
     own key. A null key never names a component unless all its members' keys are null. Repeated
     rows are equal texts. __class (binary, null without a set) names the row's component, for
-    rows whose keys are not unique.
+    rows whose keys are not unique. ``is_scan``: docs is a plain scan of Parquet files already;
+    ``sizes`` of :func:`blocks.measure`, if known.
     """
     spark = docs.sparkSession
     common.ship(spark)
     source = docs if is_scan else blocks.stable(docs.select(F.col(key), F.col(column)))
-    source = source.select(F.col(key).alias("doc_id"), common.text_of(column).alias("text"))
-    bits = blocks.range_bits(source)
+    source = blocks.named(source.select(F.col(key).alias("doc_id"), common.text_of(column).alias("text")))
+    bits, stretch = sizes or blocks.measure(source)
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def tokens(_, rows, __):
         return _sets(blocks.one_column(rows, "text"), n)[0], None
 
-    counted = blocks.post(source.select("text"), tokens, bits, True, True, "join-counts")
+    counted = blocks.post(source.drop("doc_id"), tokens, bits, stretch, True, True, "join-counts")
     common.release(spark)
 
     def prefixes(batches):
-        for block, rows in blocks.runs(batches):
+        for block, rows in blocks.runs(batches, stretch):
             keys, counts = blocks.receive(counted, block, bits, short=True)
             grams, offsets = _sets(blocks.one_column(rows, "text"), n)
             short = blocks.short_key(grams, bits)
@@ -269,12 +270,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
             size = rows.num_rows
             yield from pa.table([
                 rows.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["node"], pa.binary()), pa.array(out["matches"], pa.int32()),
-                pa.array(out["tokens"], pa.list_(pa.int64())), pa.array([block >> 24] * size, pa.int32()), pa.array([block] * size, pa.int64()), pa.array(range(size), pa.int32()),
-            ], names=["doc_id", "n", "node", "matches", "tokens", "part", "block", "at"]).to_batches()
+                pa.array(out["tokens"], pa.list_(pa.int64())), pa.array([block.file] * size, pa.int64()), pa.array(range(block.low, block.high + 1), pa.int64()),
+            ], names=["doc_id", "n", "node", "matches", "tokens", "file", "at"]).to_batches()
 
     rows = common.settle(source.mapInArrow(common.tidy(prefixes), _PREFIX.format(kind=kind)), "join-prefixes")
     common.discard(counted)
-    place = F.struct("part", "block", "at")
+    place = F.struct("file", "at")
     reps = rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("tokens").alias("tokens"), F.min(place).alias("place")
     )
@@ -282,10 +283,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
     clusters = components(_candidates(reps))
     wanted = common.settle(clusters.join(reps.select("node", "n", "place"), "node").select("node", "component", "n", "place.*"), "join-clusters")
     path = common.scratch(spark, "join-wanted")
-    wanted.select("part", "block", "at", "node").repartition("part").write.partitionBy("part").parquet(path)
+    wanted.select(blocks.part_of("file", "at", stretch).alias("part"), "at", "node").repartition("part").write.partitionBy("part").parquet(path)
 
     def fetch(batches):
-        for block, rows in blocks.runs(batches):
+        for block, rows in blocks.runs(batches, stretch):
             found = _wanted(path, block)
             if not found:
                 continue
@@ -295,33 +296,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
                 some = range(lo, min(lo + 256, len(at)))
                 yield pa.RecordBatch.from_arrays([pa.array([found[at[i]] for i in some], pa.binary()), pa.array([grams[offsets[i] : offsets[i + 1]].tobytes() for i in some], pa.binary())], names=["node", "tokens"])
 
-    sets = source.select("text").mapInArrow(common.tidy(fetch), "node binary, tokens binary")
+    sets = source.drop("doc_id").mapInArrow(common.tidy(fetch), "node binary, tokens binary")
     links = common.settle(_compare(sets, wanted.select("node", "component", "n"), per_cent), "join-links")
     joined = components(links)
     labelled = reps.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("least"))
     labels = common.settle(labelled.select("node", "component").join(least, "component"), "join-labels")
-    out = rows.select("doc_id", "n", "node", "block", "at").join(labels, "node", "left")
+    out = rows.select("doc_id", "n", "node", "file", "at").join(labels, "node", "left")
     return out.select(
         F.col("doc_id").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-        F.col("component").alias("__class"), F.struct("block", "at").alias("__copy"),
+        F.col("component").alias("__class"), F.struct("file", "at").alias("__copy"),
     )
 
 
-def _wanted(path: str, block: int) -> dict[int, bytes]:
+def _wanted(path: str, block: blocks.Block) -> dict[int, bytes]:
+    """Nodes of the wanted rows of a block, by place in it."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     files, root = common.open_fs(path)
     out: dict[int, bytes] = {}
-    for x in files.get_file_info(fs.FileSelector(f"{root}/part={block >> 24}", allow_not_found=True)):
+    for x in files.get_file_info(fs.FileSelector(f"{root}/part={block.part}", allow_not_found=True)):
         if x.path.endswith(".parquet"):
             with files.open_input_file(x.path) as f:
-                for batch in pq.ParquetFile(f).iter_batches(65536, columns=["block", "at", "node"]):
-                    b, at, node = batch.columns
-                    for i in np.flatnonzero(b.to_numpy() == block).tolist():
-                        out[at[i].as_py()] = node[i].as_py()
+                for batch in pq.ParquetFile(f).iter_batches(65536, columns=["at", "node"]):
+                    at, node = batch.column(0).to_numpy(), batch.column(1)
+                    for i in np.flatnonzero((at >= block.low) & (at <= block.high)).tolist():
+                        out[int(at[i]) - block.low] = node[i].as_py()
     return out
 
 
@@ -332,20 +334,21 @@ def keep_one(docs: DataFrame, n: int = 5, per_cent: int = 80, is_scan: bool = Fa
     without a set are all kept.
     """
     source = docs if is_scan else blocks.stable(docs)
-    found = near_duplicates(source, n, per_cent, is_scan=True)
+    sizes = blocks.measure(source)
+    found = near_duplicates(source, n, per_cent, is_scan=True, sizes=sizes)
     linked = found.where("__class IS NOT NULL")
     best = linked.groupBy("__class").agg(F.min_by("__copy", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), "__copy")).alias("__copy"))
     kept = best.select("__copy.*").unionByName(found.where("__class IS NULL").select("__copy.*"))
     path = common.scratch(docs.sparkSession, "join-kept")
-    kept.withColumn("part", F.shiftright("block", 24).cast("int")).withColumn("node", F.lit(b"")).repartition("part").write.partitionBy("part").parquet(path)
+    kept.select(blocks.part_of("file", "at", sizes[1]).alias("part"), "at", F.lit(b"").alias("node")).repartition("part").write.partitionBy("part").parquet(path)
 
     def run(batches):
-        for block, rows in blocks.runs(batches):
+        for block, rows in blocks.runs(batches, sizes[1]):
             at = sorted(_wanted(path, block))
             if at:
                 yield from rows.take(pa.array(at, pa.int64())).to_batches()
 
-    return source.mapInArrow(common.tidy(run), source.schema)
+    return blocks.named(source).mapInArrow(common.tidy(run), source.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

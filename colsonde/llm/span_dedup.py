@@ -62,15 +62,15 @@ def remove_repeated_spans(docs: DataFrame, window: int = 35, column: str = "text
     joined by one space) and ``kept_sha256`` added; columns of these names are replaced.
     A null or blank text has no words; a text of fewer words than ``window`` loses none; a
     repeated row is another place, so long texts of repeated rows go altogether. ``is_scan``:
-    docs is a plain file scan already, so no copy is made of it.
+    docs is a plain scan of Parquet files already, so no copy is made of it.
     """
     if window < 2:
         raise ValueError("window must be at least 2")
     docs = docs.drop("n_words", "n_removed", "kept_text", "kept_sha256")
     spark, seed = docs.sparkSession, (window + 1) // 2
     source = docs if is_scan else blocks.stable(docs)
-    only = source.select(common.text_of(column).alias("text"))
-    bits = blocks.range_bits(only)
+    only = blocks.named(source.select(common.text_of(column).alias("text")))
+    bits, stretch = blocks.measure(only)
     common.ship(spark)
 
     def representatives(_, rows, __):
@@ -91,13 +91,13 @@ def remove_repeated_spans(docs: DataFrame, window: int = 35, column: str = "text
         at = at[blocks.member(least[at], answers[0])]
         return window_hashes(h, window)[at], _check(h, window)[at]
 
-    first = blocks.post(only, representatives, bits, False, False, "span-seeds")
-    second = blocks.post(only, extended, bits, False, False, "span-windows", state=first)
+    first = blocks.post(only, representatives, bits, stretch, False, False, "span-seeds")
+    second = blocks.post(only, extended, bits, stretch, False, False, "span-windows", state=first)
     common.discard(first)
     common.release(spark)
 
     def cut(batches):
-        for block, rows in blocks.runs(batches, "__text"):
+        for block, rows in blocks.runs(batches, stretch, "__text"):
             texts = blocks.one_column(rows, "__text")
             h, offsets = word_hashes(texts)
             ok = _inside(offsets, len(h), window)
@@ -120,7 +120,7 @@ def remove_repeated_spans(docs: DataFrame, window: int = 35, column: str = "text
                 names = [*rest.column_names, "n_words", "n_removed", "kept_text", "kept_sha256"]
                 yield from pa.table([*part.columns, *more], names=names).to_batches()
 
-    carried = source.withColumn("__text", common.text_of(column))
+    carried = blocks.named(source.withColumn("__text", common.text_of(column)))
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in source.schema)
     return carried.mapInArrow(common.tidy(cut), f"{schema}, {_OUT}")
 
