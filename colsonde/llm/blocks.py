@@ -37,8 +37,8 @@ FILE, ROW = "__block_file", "__block_row"
 
 _MAIL = pa.schema([("bucket", pa.int32()), ("part", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("many", pa.binary())])
 _MAIL_SQL = "bucket int, part string, low bigint, high bigint, keys binary, checks binary, many binary"
-_ANSWER = pa.schema([("part", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_ANSWER_SQL = "part string, low bigint, high bigint, bucket int, keys binary, counts binary"
+_ANSWER = pa.schema([("part", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("counts", pa.binary())])
+_ANSWER_SQL = "part string, low bigint, high bigint, bucket int, keys binary, checks binary, counts binary"
 
 
 class Block(NamedTuple):
@@ -134,9 +134,10 @@ def distinct(keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, n
 def post(docs: DataFrame, hashes: Callable, bits: int, stretch: int, short: bool, with_counts: bool, label: str, state: str | None = None) -> str:
     """Count hashes of ``docs``, whose rows are named, and return the path of the answers.
 
-    ``hashes(block, rows, answers)`` gives (uint64 keys, uint32 checks or None), where
+    ``hashes(block, rows, answers)`` gives (uint64 keys, uint64 checks or None), where
     ``answers`` are the block's answers of the earlier exchange ``state``. ``short`` sends 32
-    bits below the range's own, enough for statistics; else all 64, and the checks.
+    bits below the range's own, enough for statistics; else all 64, and the checks, of which
+    both have to be equal to count as one.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -173,12 +174,12 @@ def post(docs: DataFrame, hashes: Callable, bits: int, stretch: int, short: bool
             counts[at + m[:half].astype(np.int64)] = m[half:]
             at += len(x)
         if group.column("checks")[0].as_py() is not None:
-            checks = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("checks")])
+            checks = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group.column("checks")])
             order = np.lexsort((checks, keys))
             new = np.ones(len(keys), bool)
             new[1:] = (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])
         else:
-            order = np.argsort(keys, kind="stable")
+            checks, order = None, np.argsort(keys, kind="stable")
             new = np.ones(len(keys), bool)
             new[1:] = keys[order][1:] != keys[order][:-1]
         entry = np.cumsum(new) - 1
@@ -188,7 +189,7 @@ def post(docs: DataFrame, hashes: Callable, bits: int, stretch: int, short: bool
         each = np.zeros(len(keys), np.uint32)
         each[order] = np.minimum(total[entry], 2**32 - 1)
         cuts = np.searchsorted(owner[again], np.arange(len(raw) + 1))
-        keys, each = keys[again], each[again]
+        keys, each, checks = keys[again], each[again], None if checks is None else checks[again]
         some = np.flatnonzero(np.diff(cuts)).tolist()
         return pa.Table.from_arrays([
             group.column("part").take(pa.array(some, pa.int64())),
@@ -196,6 +197,7 @@ def post(docs: DataFrame, hashes: Callable, bits: int, stretch: int, short: bool
             group.column("high").take(pa.array(some, pa.int64())),
             group.column("bucket").take(pa.array(some, pa.int64())),
             pa.array([keys[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()),
+            pa.array([None if checks is None else checks[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()),
             pa.array([each[cuts[i] : cuts[i + 1]].tobytes() if with_counts else None for i in some], pa.binary()),
         ], schema=_ANSWER)
 
@@ -206,33 +208,72 @@ def post(docs: DataFrame, hashes: Callable, bits: int, stretch: int, short: bool
     return path
 
 
-def receive(path: str, block: Block, bits: int, short: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Sorted distinct keys that occur elsewhere too (or again in the block), and their counts if kept.
+def _parts(path: str, part: str) -> tuple:
+    from pyarrow import fs
+
+    files, root = common.open_fs(path)
+    found = files.get_file_info(fs.FileSelector(f"{root}/part={part}" if part else root, allow_not_found=True))
+    return files, [x.path for x in found if x.path.endswith(".parquet") or not part and "part=" in x.base_name]
+
+
+def any_answer(path: str) -> bool:
+    """Whether anything occurs twice at all."""
+    return bool(_parts(path, "")[1])
+
+
+class Answers(NamedTuple):
+    """Sorted distinct hashes that occur elsewhere too, or again in the block."""
 
-    All such keys of the block's rows are among them, whatever blocks the sending pass had.
+    keys: np.ndarray
+    checks: np.ndarray | None
+    counts: np.ndarray | None
+
+    def holds(self, keys: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
+        """Which of the given hashes are among them."""
+        if checks is None or self.checks is None or not len(self.keys):
+            return member(keys, self.keys)
+        at, found = np.searchsorted(self.keys, keys), np.zeros(len(keys), bool)
+        todo = np.arange(len(keys))
+        # One round, but for different checks under one key.
+        while len(todo):
+            todo = todo[at[todo] < len(self.keys)]
+            todo = todo[self.keys[at[todo]] == keys[todo]]
+            hit = self.checks[at[todo]] == checks[todo]
+            found[todo[hit]] = True
+            todo = todo[~hit]
+            at[todo] += 1
+        return found
+
+
+def receive(path: str, block: Block, bits: int, short: bool = False) -> Answers:
+    """What the exchange answered for the block's rows.
+
+    All such hashes of its rows are among them, whatever blocks the sending pass had.
     """
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
-    files, root = common.open_fs(path)
-    found = [x.path for x in files.get_file_info(fs.FileSelector(f"{root}/part={block.part}", allow_not_found=True)) if x.path.endswith(".parquet")]
-    keys, counts = [], []
+    files, found = _parts(path, block.part)
+    keys, checks, counts = [], [], []
     for name in found:
         with files.open_input_file(name) as f:
-            for batch in pq.ParquetFile(f).iter_batches(256, columns=["low", "high", "bucket", "keys", "counts"]):
-                for low, high, bucket, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for batch in pq.ParquetFile(f).iter_batches(256, columns=["low", "high", "bucket", "keys", "checks", "counts"]):
+                for low, high, bucket, k, other, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                     if low <= block.high and high >= block.low:
                         x = np.frombuffer(k, np.uint32 if short else np.uint64)
                         if short:
                             x = (np.uint64(bucket) << np.uint64(64 - bits)) | (x.astype(np.uint64) << np.uint64(32 - bits))
                         keys.append(x)
+                        if other is not None:
+                            checks.append(np.frombuffer(other, np.uint64))
                         if c is not None:
                             counts.append(np.frombuffer(c, np.uint32))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    out = np.concatenate(keys)
-    out, first = np.unique(out, return_index=True)
-    return out, np.concatenate(counts)[first] if counts else None
+        return Answers(np.zeros(0, np.uint64), None, np.zeros(0, np.uint32))
+    if checks:
+        out, other, _ = distinct(np.concatenate(keys), np.concatenate(checks))
+        return Answers(out, other, None)
+    out, first = np.unique(np.concatenate(keys), return_index=True)
+    return Answers(out, None, np.concatenate(counts)[first] if counts else None)
 
 
 def short_key(h: np.ndarray, bits: int) -> np.ndarray:

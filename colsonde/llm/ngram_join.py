@@ -24,50 +24,50 @@ CELLS = 4 << 20
 _PREFIX = "doc_id {kind}, n bigint, node binary, matches int, tokens array<bigint>, file bigint, at bigint"
 
 
-def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of each text in turn, offsets of the texts), by slabs of texts."""
+def _sets(texts: pa.Array, n: int, lanes: int = 1) -> tuple[np.ndarray, ...]:
+    """(sorted distinct shingle hashes of each text in turn, their other lanes, offsets of the texts), by slabs of texts."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64) + 1)
-    grams, sizes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    found, sizes, at = [[np.zeros(0, np.uint64)] for _ in range(lanes)], [np.zeros(1, np.int64)], 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB, "right")))
-        found, offsets = _slab_sets(texts.slice(at, to - at), n)
-        grams.append(found)
+        *grams, offsets = _slab_sets(texts.slice(at, to - at), n, lanes)
+        for lane, x in zip(found, grams, strict=True):
+            lane.append(x)
         sizes.append(np.diff(offsets))
         at = to
-    return np.concatenate(grams), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return *(np.concatenate(x) for x in found), np.cumsum(np.concatenate(sizes))
 
 
-def _slab_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    h, offsets = word_hashes(texts, fold=True)
+def _slab_sets(texts: pa.Array, n: int, lanes: int) -> tuple[np.ndarray, ...]:
+    *hashes, offsets = word_hashes(texts, fold=True, lanes=lanes)
     counts = np.diff(offsets)
-    grams = window_hashes(h, n)
     owner = np.repeat(np.arange(len(counts)), np.maximum(counts - n + 1, 0))
     firsts = offsets[:-1][counts >= n]
     sizes = (counts - n + 1)[counts >= n]
-    if len(sizes):
-        at = np.repeat(firsts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        grams = grams[at]
-    else:
-        grams = np.zeros(0, np.uint64)
+    at = np.repeat(firsts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     short = np.flatnonzero((counts > 0) & (counts < n))
-    if len(short):
+    owner = np.concatenate([owner, short])
+    lanes_of = []
+    for h in hashes:
         # Fewer words than a shingle has: the whole sequence, told apart from any shingle by its length.
-        extra = []
-        for i in short.tolist():
-            x = window_hashes(h[offsets[i] : offsets[i + 1]], int(counts[i]))
-            extra.append(_spread(x + np.uint64(counts[i])))
-        grams, owner = np.concatenate([grams, *extra]), np.concatenate([owner, short])
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    grams, owner = grams[new], owner[new]
-    return grams, np.searchsorted(owner, np.arange(len(counts) + 1))
-
-
-def _node(s: np.ndarray) -> bytes:
-    """128 bits that name a set."""
-    return np.array([_spread(s).sum(), _spread(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64).byteswap().tobytes()
+        extra = [_spread(window_hashes(h[offsets[i] : offsets[i + 1]], int(counts[i])) + np.uint64(counts[i])) for i in short.tolist()]
+        lanes_of.append(np.concatenate([window_hashes(h, n)[at], *extra]))
+    order = np.lexsort((lanes_of[0], owner))
+    owner, lanes_of = owner[order], [x[order] for x in lanes_of]
+    new = np.ones(len(owner), bool)
+    new[1:] = (lanes_of[0][1:] != lanes_of[0][:-1]) | (owner[1:] != owner[:-1])
+    owner = owner[new]
+    return *(x[new] for x in lanes_of), np.searchsorted(owner, np.arange(len(counts) + 1))
+
+
+def _nodes(lanes: list[np.ndarray], offsets: np.ndarray) -> list[bytes]:
+    """128 bits that name each set: sums over independent hashes of its shingles."""
+    names = np.zeros((len(offsets) - 1, 2), np.uint64)
+    for k, h in enumerate(lanes):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_spread(h))])
+        names[:, k] = sums[offsets[1:]] - sums[offsets[:-1]]
+    raw = names.byteswap().tobytes()
+    return [raw[16 * i : 16 * i + 16] for i in range(len(names))]
 
 
 def prefix(df: np.ndarray, least: int) -> tuple[int, int]:
@@ -157,33 +157,78 @@ def _candidates(reps: DataFrame) -> DataFrame:
     return long.unionByName(short)
 
 
+def _cells(large: DataFrame) -> DataFrame:
+    """(node, component, cell, side): where members (node, component, ring, class) of large clusters are compared.
+
+    Members of equal ring and class are dealt into chunks by hash. Every two chunks that can
+    hold linked documents are a cell; a document goes to all cells of its chunk.
+    """
+    counts = large.groupBy("component", "ring", "class").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("k"))
+    chunk = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
+    own = large.join(counts, ["component", "ring", "class"]).withColumn("x", chunk(F.col("k"))).drop("k")
+    steps = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
+    towards = F.explode(F.array(*[F.struct((F.col("ring") + r).alias("r"), (F.col("class") + c).alias("c")) for r, c in steps]))
+    # Members of ring 0 are all linked to the pivot, so they need no comparison among themselves.
+    met = own.withColumn("to", towards).where((F.col("ring") > 0) | (F.col("to.r") > 0))
+    others = counts.select("component", F.col("ring").alias("r"), F.col("class").alias("c"), "k")
+    met = met.select("*", "to.*").join(others, ["component", "r", "c"])
+    met = met.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    mine, theirs = F.struct("ring", "class", "x"), F.struct(F.col("r").alias("ring"), F.col("c").alias("class"), F.col("y").alias("x"))
+    name = lambda s: [s[f].cast("string") for f in ("ring", "class", "x")]
+    cell = F.concat_ws("/", *name(F.least(mine, theirs)), *name(F.greatest(mine, theirs)))
+    return met.select("node", "component", cell.alias("cell"), (theirs < mine).cast("int").alias("side"))
+
+
+def _rings(large: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """``large`` with each member's ring about its cluster's pivot, the least member.
+
+    1 - similarity is a metric. Rings are as wide as the distance of linked documents, ring 0
+    with its border, so linked documents lie in the same or in neighbouring rings. The pivot's
+    set is sent once to every CHUNK members or so.
+    """
+    sizes = large.groupBy("component").agg(F.min("node").alias("pivot"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("k"))
+    members = large.join(sizes, "component").select("node", "component", F.pmod(F.xxhash64("node"), "k").cast("int").alias("salt"), F.lit(False).alias("pivot"))
+    pivots = sizes.select(F.col("pivot").alias("node"), "component", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(True).alias("pivot"))
+
+    def measure(group: pa.Table) -> pa.Table:
+        held = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("tokens")]
+        center = group.column("pivot").to_numpy()
+        middle = held[int(np.flatnonzero(center)[0])]
+        rest = np.flatnonzero(~center)
+        both = np.array([blocks.member(held[i], middle).sum() for i in rest.tolist()], np.int64)
+        union = np.array([len(held[i]) for i in rest.tolist()], np.int64) + len(middle) - both
+        # The least r with distance <= (r + 1) * width, in whole numbers.
+        ring = np.maximum(-(-100 * (union - both) // ((100 - per_cent) * union)) - 1, 0)
+        return pa.table({"node": group.column("node").take(pa.array(rest)), "ring": pa.array(ring, pa.int32())})
+
+    found = members.unionByName(pivots).join(sets, "node").groupBy("component", "salt").applyInArrow(common.tidy_group(measure), "node binary, ring int")
+    return large.join(found, "node")
+
+
 def _compare(sets: DataFrame, clusters: DataFrame, per_cent: int) -> DataFrame:
-    """Links (a, b) that join up all truly linked documents of each cluster.
+    """Links (a, b) that join up all truly linked documents of each cluster (node, component, n).
 
-    A cluster of up to CHUNK documents is one comparison. A larger one is dealt into chunks by
-    size class, classes being so wide that only neighbours can be linked, and by hash; every
-    two chunks of equal or neighbouring classes are compared in a task of their own, which
-    gives out a spanning forest of the links it finds, never all pairs.
+    A cluster of up to CHUNK documents is one comparison. Members of a larger one are measured
+    against a pivot first and linked to it; what is left to compare are documents of equal or
+    neighbouring rings (:func:`_rings`) and size classes, so wide that only neighbours can be
+    linked, but for ring 0 with itself. Every two chunks of those are compared in a task group of
+    their own, which gives out a spanning forest of the links it finds, never all pairs.
     """
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / per_cent)) + 1e-9).cast("int")
-    rows = clusters.withColumn("class", size)
-    total = rows.groupBy("component").agg(F.count(F.lit(1)).alias("docs"))
-    rows = rows.join(total, "component")
+    total = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("docs"))
+    rows = common.settle(clusters.join(total, "component"), "join-sized")
     small = rows.where(F.col("docs") <= CHUNK).select("node", "component", F.lit("").alias("cell"), F.lit(0).alias("side"))
-    large = rows.where(F.col("docs") > CHUNK)
-    counts = large.groupBy("component", "class").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("k"))
-    above = counts.select("component", (F.col("class") - 1).alias("class"), F.col("k").alias("k_above"))
-    below = counts.select("component", (F.col("class") + 1).alias("class"), F.col("k").alias("k_below"))
-    large = large.join(counts, ["component", "class"]).join(above, ["component", "class"], "left").join(below, ["component", "class"], "left")
-    x = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    cell = lambda c1, x1, c2, x2: F.concat_ws("/", *[v.cast("string") for v in (c1, x1, c2, x2)])
-    ours = F.col("class")
-    turns = lambda k: F.when(F.coalesce(k, F.lit(0)) > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    equal = F.transform(turns(F.col("k")), lambda y: F.struct(F.when(y < x, cell(ours, y, ours, x)).otherwise(cell(ours, x, ours, y)).alias("cell"), (y < x).cast("int").alias("side")))
-    up = F.transform(turns(F.col("k_above")), lambda y: F.struct(cell(ours, x, ours + 1, y).alias("cell"), F.lit(0).alias("side")))
-    down = F.transform(turns(F.col("k_below")), lambda y: F.struct(cell(ours - 1, y, ours, x).alias("cell"), F.lit(1).alias("side")))
-    dealt = large.select("node", "component", F.explode(F.concat(equal, up, down)).alias("c")).select("node", "component", "c.cell", "c.side")
-    payload = small.unionByName(dealt).join(sets, "node")
+    large = rows.where(F.col("docs") > CHUNK).select("node", "component", "n")
+    none = rows.sparkSession.createDataFrame([], "a binary, b binary")
+    if per_cent == 100:
+        return none  # equal sets are one node already
+    starred = none
+    if not large.isEmpty():
+        # Classes start at sizes found by whole numbers: n * 100 >= per_cent * m for linked sizes n <= m.
+        size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / per_cent)) * (1 - 1e-9)).cast("int")
+        large = common.settle(_rings(large, sets, per_cent).withColumn("class", size), "join-rings")
+        pivots = large.groupBy("component").agg(F.min("node").alias("pivot"))
+        starred = large.where("ring = 0").join(pivots, "component").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        small = small.unionByName(_cells(large))
 
     def verify(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
@@ -205,7 +250,7 @@ def _compare(sets: DataFrame, clusters: DataFrame, per_cent: int) -> DataFrame:
         tree = forest(pairs[pairs[:, 0] != pairs[:, 1]], len(nodes))
         return pa.table({"a": pa.array([nodes[i] for i, _ in tree], pa.binary()), "b": pa.array([nodes[j] for _, j in tree], pa.binary())})
 
-    return payload.groupBy("component", "cell").applyInArrow(common.tidy_group(verify), "a binary, b binary")
+    return small.join(sets, "node").groupBy("component", "cell").applyInArrow(common.tidy_group(verify), "a binary, b binary").unionByName(starred)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str = "doc_id", column: str = "text", is_scan: bool = False, sizes: tuple[int, int] | None = None) -> DataFrame:
@@ -220,7 +265,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
     prefix is so long that any partner shares at least the asked number of tokens within both
     prefixes (the smaller of the two numbers); the number follows the estimated cost of
     candidates (:func:`prefix`). Nothing is lost: lists that are too long to pair link all their
-    members as candidates, and candidates are compared set by set.
+    members as candidates, and candidates are compared set by set, by 64-bit hashes of
+    shingles; sets are told apart by 128 bits, from two independent hashes.
 
     A null, empty or blank text has no set and is linked with nothing: its component_id is its
     own key. A null key never names a component unless all its members' keys are null. Repeated
@@ -228,6 +274,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
     rows whose keys are not unique. ``is_scan``: docs is a plain scan of Parquet files already;
     ``sizes`` of :func:`blocks.measure`, if known.
     """
+    if n < 1 or not 1 <= per_cent <= 100:
+        raise ValueError("n must be at least 1, and per_cent 1 to 100")
     spark = docs.sparkSession
     common.ship(spark)
     source = docs if is_scan else blocks.stable(docs.select(F.col(key), F.col(column)))
@@ -243,8 +291,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
 
     def prefixes(batches):
         for block, rows in blocks.runs(batches, stretch):
-            keys, counts = blocks.receive(counted, block, bits, short=True)
-            grams, offsets = _sets(blocks.one_column(rows, "text"), n)
+            keys, _, counts = blocks.receive(counted, block, bits, short=True)
+            grams, other, offsets = _sets(blocks.one_column(rows, "text"), n, lanes=2)
+            names = _nodes([grams, other], offsets)
             short = blocks.short_key(grams, bits)
             df = np.ones(len(grams), np.int64)
             if len(keys):
@@ -261,7 +310,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
                     out["matches"].append(0)
                     out["tokens"].append([])
                     continue
-                out["node"].append(_node(s))
+                out["node"].append(names[i])
                 order = np.lexsort((s, d))
                 length, matches = prefix(d[order], -(-per_cent * len(s) // 100))
                 picked = order[:length]
@@ -296,7 +345,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
                 some = range(lo, min(lo + 256, len(at)))
                 yield pa.RecordBatch.from_arrays([pa.array([found[at[i]] for i in some], pa.binary()), pa.array([grams[offsets[i] : offsets[i + 1]].tobytes() for i in some], pa.binary())], names=["node", "tokens"])
 
-    sets = source.drop("doc_id").mapInArrow(common.tidy(fetch), "node binary, tokens binary")
+    sets = common.settle(source.drop("doc_id").mapInArrow(common.tidy(fetch), "node binary, tokens binary"), "join-sets")
     links = common.settle(_compare(sets, wanted.select("node", "component", "n"), per_cent), "join-links")
     joined = components(links)
     labelled = reps.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsonde.llm import blocks, common
-from colsonde.llm.wordhash import pair, sliding_min, window_hashes, word_hashes
+from colsonde.llm.wordhash import grow, sliding_min, window_hashes, word_hashes
 
 _OUT = "n_words bigint, n_removed bigint, kept_text string, kept_sha256 string"
 
@@ -27,14 +27,36 @@ def _inside(offsets: np.ndarray, n: int, length: int) -> np.ndarray:
     return ok
 
 
-def _seeds(h: np.ndarray, ok: np.ndarray, seed: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all seed windows, least hash within each full window).
+def ladder(window: int, shortest: int) -> list[int]:
+    """Lengths from about ``shortest`` words to ``window``, each at most twice the one before."""
+    lengths = [window]
+    while lengths[0] > max(1, shortest):
+        lengths.insert(0, (lengths[0] + 1) // 2)
+    return lengths
 
-    A full window is represented by its least seed window, which depends on its own words
-    alone: equal windows have equal representatives. About one seed in ten is one.
+
+def _rungs(h: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """Hashes of all windows of each length, each doubled up from the one before."""
+    out = [window_hashes(h, lengths[0])]
+    for have, want in pairwise(lengths):
+        out.append(grow(out[-1], have, want))
+    return out
+
+
+def _asked(rungs: list[np.ndarray], lengths: list[int], ok: np.ndarray, level: int) -> np.ndarray:
+    """Which windows of a level have to be known, so that all full windows within texts are decided.
+
+    A longer window is represented by its least shorter one, which depends on its own words
+    alone: equal windows have equal representatives, of which there are few.
     """
-    seeds = window_hashes(h, seed)
-    return seeds, sliding_min(seeds, window - seed + 1)
+    asked = ok
+    for k in range(len(lengths) - 2, level - 1, -1):
+        least = sliding_min(rungs[k], lengths[k + 1] - lengths[k] + 1)
+        chosen = np.zeros(len(rungs[k]), bool)
+        for shift in range(lengths[k + 1] - lengths[k] + 1):
+            chosen[shift : shift + len(least)] |= asked & (rungs[k][shift : shift + len(least)] == least)
+        asked = chosen
+    return asked
 
 
 def _spread_back(flags: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -46,17 +68,13 @@ def _spread_back(flags: np.ndarray, n: int, length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _check(h: np.ndarray, length: int) -> np.ndarray:
-    return (window_hashes(pair(h, h >> np.uint64(7)), length) >> np.uint64(32)).astype(np.uint32)
-
-
-def remove_repeated_spans(docs: DataFrame, window: int = 35, column: str = "text", is_scan: bool = False) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, window: int = 35, column: str = "text", is_scan: bool = False, shortest: int = 9) -> DataFrame:
     """Cut every word that some ``window``-word sequence, found at two places or more, covers.
 
-    Level-wise doubling: windows of half the length (rounded up) are hashed first, of which
-    each full window needs only its representative, the one of least hash. Of these, only
-    those that occur twice or more are extended to the full length, and counted again with 96
-    bits; within a level, hashes double up from single words. Windows are judged on the input.
+    Level-wise doubling over :func:`ladder` (9, 18 and 35 words). Of a level's windows those
+    are counted over the whole corpus that represent a longer one and whose own representative
+    of the level before occurs twice or more; the levels end early if none does. Full windows
+    are counted by two independent hashes, 128 bits. Windows are judged on the input.
 
     Returns the columns of ``docs`` with ``n_words``, ``n_removed``, ``kept_text`` (kept words
     joined by one space) and ``kept_sha256`` added; columns of these names are replaced.
@@ -67,42 +85,46 @@ def remove_repeated_spans(docs: DataFrame, window: int = 35, column: str = "text
     if window < 2:
         raise ValueError("window must be at least 2")
     docs = docs.drop("n_words", "n_removed", "kept_text", "kept_sha256")
-    spark, seed = docs.sparkSession, (window + 1) // 2
+    spark, lengths = docs.sparkSession, ladder(window, shortest)
     source = docs if is_scan else blocks.stable(docs)
     only = blocks.named(source.select(common.text_of(column).alias("text")))
     bits, stretch = blocks.measure(only)
     common.ship(spark)
 
-    def representatives(_, rows, __):
-        h, offsets = word_hashes(blocks.one_column(rows, "text"))
-        ok = _inside(offsets, len(h), window)
-        seeds, least = _seeds(h, ok, seed, window)
-        # A text's own seeds, each once for a run of windows that it represents.
-        chosen = np.zeros(len(seeds), bool)
-        for shift in range(window - seed + 1):
-            chosen[shift : shift + len(least)] |= ok & (seeds[shift : shift + len(least)] == least)
-        return seeds[chosen], None
-
-    def extended(_, rows, answers):
-        h, offsets = word_hashes(blocks.one_column(rows, "text"))
-        ok = _inside(offsets, len(h), window)
-        _, least = _seeds(h, ok, seed, window)
-        at = np.flatnonzero(ok)
-        at = at[blocks.member(least[at], answers[0])]
-        return window_hashes(h, window)[at], _check(h, window)[at]
-
-    first = blocks.post(only, representatives, bits, stretch, False, False, "span-seeds")
-    second = blocks.post(only, extended, bits, stretch, False, False, "span-windows", state=first)
-    common.discard(first)
-    common.release(spark)
+    def windows(level: int):
+        full = level == len(lengths) - 1
+
+        def of(_, rows, answers):
+            *h, offsets = word_hashes(blocks.one_column(rows, "text"), lanes=2 if full else 1)
+            ok = _inside(offsets, len(h[0]), window)
+            rungs = _rungs(h[0], lengths)
+            at = np.flatnonzero(_asked(rungs, lengths, ok, level))
+            if level:
+                least = sliding_min(rungs[level - 1], lengths[level] - lengths[level - 1] + 1)
+                at = at[answers.holds(least[at])]
+            return rungs[level][at], _rungs(h[1], lengths)[level][at] if full else None
+
+        return of
+
+    answers = None
+    for level in range(len(lengths)):
+        before, answers = answers, blocks.post(only, windows(level), bits, stretch, False, False, "span-windows", state=answers)
+        if before:
+            common.discard(before)
+        if not blocks.any_answer(answers):
+            break
+    decided = level == len(lengths) - 1
 
     def cut(batches):
         for block, rows in blocks.runs(batches, stretch, "__text"):
             texts = blocks.one_column(rows, "__text")
-            h, offsets = word_hashes(texts)
-            ok = _inside(offsets, len(h), window)
-            flags = ok.copy()
-            flags[ok] = blocks.member(window_hashes(h, window)[ok], blocks.receive(second, block, bits)[0])
+            h, g, offsets = word_hashes(texts, lanes=2)
+            flags = _inside(offsets, len(h), window)
+            if decided:
+                found = blocks.receive(answers, block, bits)
+                flags[flags] = found.holds(_rungs(h, lengths)[-1][flags], _rungs(g, lengths)[-1][flags])
+            else:
+                flags[:] = False
             gone = _spread_back(flags, len(h), window) if len(h) >= window else np.zeros(len(h), bool)
             lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[offsets])
             rest = rows.drop_columns(["__text"])

@@ -1,4 +1,4 @@
-"""64-bit hashes of words and of word windows, computed for whole Arrow buffers at once."""
+"""Hashes of words and of word windows, in independent lanes of 64 bits, for whole Arrow buffers at once."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_ODD = 0x9E3779B97F4A7C13
-_MASK = (1 << 64) - 1
-
 #: A slab is what is hashed in one go; longer texts make longer slabs.
 SLAB = 1 << 20
 
@@ -22,28 +19,21 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values(fold: bool) -> np.ndarray:
-    values = _spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    if fold:
-        values[65:91] = values[97:123]
-    return values
+#: Places within a word whose byte values are tabulated; beyond them the same values are computed.
+_NEAR = 64
+_LANES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F))
 
 
-_VALUES = {False: _byte_values(False), True: _byte_values(True)}
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, 9, 10, 11, 12, 13]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def _byte_value(lane: int, at: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Pseudo-random 64 bits of a byte at a place of its word: no arithmetic relation between them."""
+    return _spread(_spread((at.astype(np.uint64) << np.uint64(8)) + byte + _LANES[lane]) * _LANES[lane])
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, n at least."""
-    if len(_powers[0]) < n:
-        n = max(n, SLAB + 4096)
-        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table, dtype=np.uint64)
-    return _powers[0], _powers[1]
+_TABLES = [_byte_value(k, np.repeat(np.arange(_NEAR), 256), np.tile(np.arange(256, dtype=np.uint64), _NEAR)) for k in range(len(_LANES))]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_WHITE = np.zeros(256, bool)
+_WHITE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,30 +50,30 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and the offsets of the texts among them.
+def word_hashes(texts: pa.Array, fold: bool = False, lanes: int = 1) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of all texts, one array a lane, and the offsets of the texts among them.
 
-    ``fold`` treats A-Z as a-z.
+    A word's hash sums the values of its bytes at their places, as tabulation hashing does, so
+    that no rearrangement of bytes collides by its structure; lanes are independent of each
+    other. ``fold`` treats A-Z as a-z.
     """
     raw, offsets = text_buffer(texts)
-    hashes, counts, at = [], [], 0
+    found, counts, at = [[np.zeros(0, np.uint64)] for _ in range(lanes)], [np.zeros(1, np.int64)], 0
     while at < len(offsets) - 1:
         to = int(np.searchsorted(offsets, offsets[at] + SLAB, "right")) - 1
         to = min(max(to, at + 1), len(offsets) - 1)
-        h, c = _slab(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], fold)
-        hashes.append(h)
+        *h, c = _slab(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], fold, lanes)
+        for lane, x in zip(found, h, strict=True):
+            lane.append(x)
         counts.append(c)
         at = to
-    out = np.zeros(len(offsets), np.int64)
-    if counts:
-        out[1:] = np.cumsum(np.concatenate(counts))
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), out
+    return *(np.concatenate(x) for x in found), np.cumsum(np.concatenate(counts))
 
 
-def _slab(raw: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+def _slab(raw: np.ndarray, offsets: np.ndarray, fold: bool, lanes: int) -> list[np.ndarray]:
     n = len(raw)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        return [np.zeros(0, np.uint64)] * lanes + [np.zeros(len(offsets) - 1, np.int64)]
     gap = _WHITE[raw]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0] = after[-1] = True
@@ -93,12 +83,24 @@ def _slab(raw: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray,
     after[inner - 1] = True
     word = ~gap
     starts = np.flatnonzero(word & before)
-    ends = np.flatnonzero(word & after) + 1
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[fold][raw] * up[:n], out=sums[1:])
-    h = _spread((sums[ends] - sums[starts]) * down[starts])
-    return h, np.diff(np.searchsorted(starts, offsets))
+    sizes = np.flatnonzero(word & after) + 1 - starts
+    ends = np.cumsum(sizes)
+    firsts = ends - sizes
+    place = np.arange(word.sum(), dtype=np.int32) - np.repeat(firsts.astype(np.int32), sizes)
+    byte = raw[word]
+    if fold:
+        byte = _FOLD[byte]
+    far = np.flatnonzero(place >= _NEAR)
+    key = (place << 8) + byte
+    out = []
+    for lane in range(lanes):
+        values = _TABLES[lane].take(key, mode="clip")
+        if len(far):
+            values[far] = _byte_value(lane, place[far], byte[far].astype(np.uint64))
+        sums = np.zeros(len(byte) + 1, np.uint64)
+        np.cumsum(values, out=sums[1:])
+        out.append(_spread(sums[ends] - sums[firsts]))
+    return [*out, np.diff(np.searchsorted(starts, offsets))]
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:

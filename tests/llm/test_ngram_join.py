@@ -112,3 +112,38 @@ def test_components(spark):
             if a != b:
                 want[a] = want[b] = min(want[a], want[b])
     assert got == want
+
+
+def test_words_that_collide_under_polynomials(make_docs):
+    from test_span_dedup import parity_words
+
+    one, other = parity_words()
+    rows = [(1, one), (2, other), (3, f"{one} x y z"), (4, f"{other} x y z"), (5, f"x {one}"), (6, f"x {other}"), (7, one[:64]), (8, other[:64]), (9, one.upper())]
+    got = sorted(map(tuple, digest(make_docs(rows)).collect()), key=str)
+    assert got == brute(rows, 3, 90)
+
+
+def test_rings_of_large_clusters(make_docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 3)
+    monkeypatch.setattr(ngram_join, "CHUNK", 7)
+    g = random.Random(2)
+    words = ["v%d" % k for k in range(60)]
+    rows = []
+    # A chain of copies that drifts away from its start, a dense group, and unrelated texts that share a line.
+    for k in range(80):
+        if k % 2:
+            words[g.randrange(60)] = "c%d" % k
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, " ".join(["d%d" % j for j in range(50)] + ["e%d" % g.randrange(9)] * g.randint(1, 3))) for k in range(40)]
+    rows += [(200 + k, "v0 v1 v2 v3 v4 d0 d1 d2 d3 d4 " + " ".join("u%d" % g.randrange(99) for _ in range(g.randint(0, 9)))) for k in range(40)]
+    docs = make_docs(rows, files=3)
+    for n, per_cent in ((2, 70), (3, 100)):
+        out = near_duplicates(docs, n, per_cent, is_scan=True).select("doc_id", "n_shingles", "component_id")
+        assert sorted(map(tuple, out.collect()), key=str) == brute(rows, n, per_cent), per_cent
+
+
+def test_rejects_impossible_parameters(make_docs):
+    docs = make_docs([(1, "a")])
+    for n, per_cent in ((0, 90), (3, 0), (3, 101)):
+        with pytest.raises(ValueError):
+            near_duplicates(docs, n, per_cent)

@@ -2,7 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
-from colsonde.llm.span_dedup import digest, remove_repeated_spans
+from colsonde.llm.span_dedup import digest, ladder, remove_repeated_spans
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -59,3 +59,30 @@ def test_empty_and_clashing_columns(spark, make_docs):
     docs = make_docs([(1, "a b " * 40, "n", 2)], "doc_id bigint, text string, n_words string, kept_text int")
     out = remove_repeated_spans(docs).collect()[0]
     assert (out.doc_id, out.n_words, out.n_removed) == (1, 80, 80)
+
+
+def parity_words(n=1024):
+    """Two words that polynomial hashes modulo a power of two do not tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_under_polynomials(make_docs):
+    one, other = parity_words()
+    rows = [(k, " ".join([x] * 35)) for k, x in enumerate((one, other, one[:64], other[:64], one + other, other + one))]
+    rows.append((9, "c " + one + " " + " ".join(f"w{k}" for k in range(34))))
+    rows.append((10, "d " + other + " " + " ".join(f"w{k}" for k in range(34))))
+    got = sorted(map(tuple, digest(make_docs(rows)).collect()), key=str)
+    assert got == brute(rows, 35)
+    assert sum(r[2] for r in got) == 0
+
+
+def test_levels(make_docs):
+    assert ladder(35, 9) == [9, 18, 35] and ladder(2, 9) == [2] and ladder(36, 9) == [9, 18, 36] and ladder(35, 35) == [35]
+    rows = corpus(3, 25)
+    for shortest in (1, 3, 40):
+        out = remove_repeated_spans(make_docs(rows), 35, shortest=shortest).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == brute(rows, 35)
+    # Shorter repeats alone survive a level or two, not the last.
+    rows = [(k, " ".join([f"s{j}" for j in range(20)] + [f"t{k}-{j}" for j in range(30)])) for k in range(5)]
+    assert sorted(map(tuple, digest(make_docs(rows)).collect()), key=str) == brute(rows, 35)
