@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from colsonde.llm import common
 
+#: Keys that are broadcast at most, of some 40 bytes each.
+SENT = 100_000
 #: Seeds the second hash of a key, so that a key is 128 bits.
 _SECOND = 0x5EED
 
@@ -27,6 +29,7 @@ class LineRuns:
     A run holds each key once: (k1, k2, n_docs, keeper, fresh), sorted within its hash ranges.
     A new batch is merge-anti-joined with all runs to find keys never seen before, and is then
     added as a run of its own; ``fanout`` runs of one level are merged into one of the next.
+    Batches are disjoint in documents, so counts add up and keepers are largest over runs.
     """
 
     def __init__(self, spark, fanout: int = 2):
@@ -43,12 +46,9 @@ class LineRuns:
         return self.spark.read.parquet(*paths) if paths else None
 
     def absorb(self, batch: DataFrame) -> None:
-        """Add the postings (k1, k2, doc_id) of a batch of documents that no run holds yet.
-
-        A key's keeper is the largest doc_id of the first batch that has it, so batches come
-        from the largest doc_ids down.
-        """
-        mine = batch.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+        """Add the postings (k1, k2, doc_id) of all rows of some documents that no run holds yet."""
+        # Each document once; then a key held by a third of them is already counted before it is dealt.
+        mine = batch.distinct().groupBy("k1", "k2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
         seen = self.keys()
         if seen is None:
             run = mine.withColumn("fresh", F.lit(True))
@@ -78,69 +78,83 @@ class LineRuns:
 
     @staticmethod
     def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("k1", "k2").agg(
-            F.sum("n_docs").alias("n_docs"),
-            F.max(F.when(F.col("fresh"), F.col("keeper"))).alias("keeper"),
-            F.max("fresh").alias("fresh"),
-        )
+        return runs.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"), F.max("fresh").alias("fresh"))
 
     def common_keys(self, min_docs: int) -> DataFrame:
-        """(k1, k2, keeper) of keys held by ``min_docs`` documents or more."""
+        """(k1, k2, n_docs, keeper) of keys held by ``min_docs`` documents or more."""
         merged = self._merged(self.keys())
-        return merged.where(F.col("n_docs") >= min_docs).select("k1", "k2", "keeper")
-
-
-def _postings(docs: DataFrame, lines: Column, min_chars: int, batches: int, low, high) -> DataFrame:
-    """(batch, k1, k2, doc_id), each key once a row of ``docs``; batch 0 has the largest ids."""
-    long = F.filter(lines, lambda x: F.char_length(F.btrim(x, F.lit(common.WHITE))) >= min_chars)
-    keys = F.array_distinct(F.transform(long, _key_struct))
-    if low is None:
-        batch = F.lit(0)
-    else:
-        width = (int(high) - int(low)) // batches + 1
-        batch = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)).cast("int"), F.lit(batches - 1))
+        return merged.where(F.col("n_docs") >= min_docs).select("k1", "k2", "n_docs", "keeper")
+
+
+def _long_enough(line: Column, min_chars: int) -> Column:
+    return F.char_length(F.btrim(line, F.lit(common.WHITE))) >= min_chars
+
+
+def _postings(docs: DataFrame, lines: Column, min_chars: int, batches: int) -> DataFrame:
+    """(batch, k1, k2, doc_id), each key once a row of ``docs``; rows of one doc_id are in one batch."""
+    keys = F.array_distinct(F.transform(F.filter(lines, lambda x: _long_enough(x, min_chars)), _key_struct))
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     return docs.select(batch.alias("batch"), "doc_id", F.explode(keys).alias("k")).select("batch", "k.k1", "k.k2", "doc_id")
 
 
+def _hits(lines: DataFrame, gone: DataFrame) -> DataFrame:
+    """``lines`` (k1, k2, ...) of the common keys, with their keepers.
+
+    Up to SENT keys are broadcast. Of more, those that more than one in SENT lines has, which
+    cannot be more than SENT, are broadcast; the others are shuffled, none of them being hot.
+    """
+    n, held = gone.agg(F.count(F.lit(1)), F.sum("n_docs")).first()
+    if n <= SENT:
+        return lines.join(F.broadcast(gone), ["k1", "k2"])
+    hot = F.col("n_docs") > held // SENT
+    tagged = lines.join(F.broadcast(gone.where(hot).withColumn("__hot", F.lit(True))), ["k1", "k2"], "left")
+    rest = tagged.where("__hot IS NULL").select(*lines.columns).join(gone.where(~hot), ["k1", "k2"])
+    return tagged.where("__hot").drop("__hot").unionByName(rest)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, column: str = "text") -> DataFrame:
-    """Drop lines found in many documents, but for the document of the largest doc_id.
+    r"""Drop lines found in many documents, but for the document of the largest doc_id.
 
-    Lines are split at \\n. A line's key has no ASCII white space at the ends and A-Z
-    lower-cased. Keys of ``min_chars`` code points that at least ``min_docs`` rows hold lose
-    all their lines except in the rows of the largest doc_id holding them. Batches are ranges
-    of doc_id, absorbed from the largest down into :class:`LineRuns`.
+    Lines are split at \n. A line's key has no ASCII white space at the ends and A-Z
+    lower-cased. Keys of ``min_chars`` code points that at least ``min_docs`` documents hold lose
+    all their lines except in the document of the largest doc_id holding them. Batches are
+    documents by hash of doc_id, absorbed one after the other into :class:`LineRuns`.
 
     Returns the columns of ``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text`` added;
     columns of these names are replaced. A null or empty text is one empty line, kept as ''.
-    A row is a document, repeated rows too; of those sharing the largest doc_id, all keep their
-    lines. A null doc_id is below all others, so a key that only null ids hold is kept.
+    Rows of one doc_id, of any type that has an order, are one document: they count once, and
+    all keep the lines that it keeps. Rows of null doc_id count as no document, and lose the
+    lines of keys that enough others hold.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     spark = docs.sparkSession
     lines = F.split(common.text_of(column), "\n", -1)
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     path = common.scratch(spark, "line-postings")
-    _postings(docs, lines, min_chars, batches, low, high).write.partitionBy("batch").parquet(path)
+    _postings(docs, lines, min_chars, batches).write.partitionBy("batch").parquet(path)
     kinds = f"k1 bigint, k2 bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, batch int"
     postings = spark.read.schema(kinds).parquet(path)
     runs = LineRuns(spark)
-    for k in range(batches if low is not None else 1):
+    for k in range(batches):
         runs.absorb(postings.where(F.col("batch") == k).drop("batch"))
+    common.discard(path)
     gone = common.settle(runs.common_keys(min_docs), "line-common")
 
-    # Where the lines to drop stand: positions within the text, gathered for each row's own key.
-    row_key = F.xxhash64(F.col("doc_id"), common.text_of(column))
+    # Where the lines to drop stand: positions within the text, under 128 bits of (doc_id, text).
+    # Settled, so that their size is known: Spark moves the texts only if it is no small one.
+    row_key = [F.xxhash64("doc_id", common.text_of(column)).alias("__r1"), F.xxhash64(F.lit(_SECOND), "doc_id", common.text_of(column)).alias("__r2")]
+    each = (
+        docs.select("doc_id", *row_key, F.posexplode(lines).alias("__at", "__line"))
+        .where(_long_enough(F.col("__line"), min_chars))
+        .select("doc_id", "__r1", "__r2", "__at", _key_struct(F.col("__line")).alias("k"))
+        .select("doc_id", "__r1", "__r2", "__at", "k.k1", "k.k2")
+    )
     places = (
-        docs.select("doc_id", row_key.alias("__row"), F.posexplode(lines).alias("__at", "__line"))
-        .where(F.char_length(F.btrim("__line", F.lit(common.WHITE))) >= min_chars)
-        .select("doc_id", "__row", "__at", _key_struct(F.col("__line")).alias("k"))
-        .select("doc_id", "__row", "__at", "k.k1", "k.k2")
-        .join(gone, ["k1", "k2"])
+        _hits(each, gone)
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("__row")
+        .groupBy("__r1", "__r2")
         .agg(F.sort_array(F.collect_set("__at")).alias("__gone"))
     )
-    split = docs.withColumn("__row", row_key).join(places, "__row", "left").withColumn("__lines", lines)
+    split = docs.select("*", *row_key).join(common.settle(places, "line-places"), ["__r1", "__r2"], "left").withColumn("__lines", lines)
     # Kept lines lie between dropped positions: slices of the array, in time linear in its length.
     n, lost = F.size("__lines"), F.coalesce("__gone", F.array().cast("array<int>"))
     before = F.concat(F.array(F.lit(-1)), lost)
@@ -171,7 +185,7 @@ k AS (
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM l),
 c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.keeper AS gone FROM k LEFT JOIN c ON k.key = c.key)
+m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.keeper AS gone FROM k LEFT JOIN c ON k.key = c.key)
 SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id

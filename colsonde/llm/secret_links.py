@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from colsonde.llm import common
 
@@ -26,73 +27,80 @@ KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
 #: Code points between the starts of parts that belong to one scope.
 REACH = 200
 
-_SPAN = "array<struct<s:bigint,e:bigint,m:string>>"
+def _steps(text: Column, pattern: str, may: Column, value: bool = False) -> Column:
+    """Leftmost non-overlapping matches: array of (gap before, length, length of group 2), null if there are none.
 
-
-def _spans(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches: array of (s, e, m), in code points."""
+    ``may`` is a cheaper condition that any match needs; most texts end there or at the first search.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).cast("bigint").alias("g"), m.alias("m")))
-
-    def add(acc, x):
-        start = acc["at"] + x["g"]
-        end = start + F.char_length(x["m"])
-        span = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(steps, zero, add)["out"]).otherwise(F.array().cast(_SPAN))
-
-
-def _as(kind: str, spans: Column) -> Column:
-    rank = F.lit(KINDS.index(kind))
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), rank.alias("k"), x["e"].alias("e")))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    inner = lambda m: F.char_length(F.regexp_extract(m, pattern, 2)) if value else F.lit(0)
+    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("l"), inner(m).alias("v")))
+    return F.when(may & text.rlike(pattern), steps)
+
+
+def find_steps(docs: DataFrame, column: str = "text") -> DataFrame:
+    """``docs`` without the text but with __row, unique once this is settled, and the matches of each pattern."""
+    text, low = F.col("__text"), F.col("__low")
+    out = docs.withColumn("__text", common.text_of(column)).withColumn("__low", F.lower("__text"))
+    any_of = lambda *words: F.lit(False) if not words else low.contains(words[0]) | any_of(*words[1:])
+    return out.select(
+        *[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c != column],
+        F.monotonically_increasing_id().alias("__row"),
+        _steps(text, ASSIGN, any_of("password", "passwd", "secret", "token", "api"), True).alias("__assign"),
+        _steps(text, ACCESS, text.contains("AKIA")).alias("__access"),
+        _steps(text, HEX, F.lit(True)).alias("__hex"),
+        _steps(text, NAMED, any_of(*_NAMES), True).alias("__named"),
+        _steps(text, ENDPOINT, text.contains("://")).alias("__url"),
+    )
 
 
-def find_parts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``docs`` without the text but with __row and __parts: array of (s, k, e), k a place in KINDS.
+def find_parts(found: DataFrame) -> DataFrame:
+    """(__row, s, k, e) of every part, k a place in KINDS, in code points.
 
     ``weak_secret``: assignments of 6 to 11 characters; ``weak_id``: access identifiers of 8 to
-    17 characters and named identifiers of 3 or more; ``endpoint``: URLs.
+    17 characters and named identifiers of 3 or more; ``endpoint``: URLs. Matches of a text
+    are placed by running sums over them, in time linear in their number.
     """
-    text = common.text_of(column)
-    out = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), text))
-    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("named", NAMED), ("url", ENDPOINT)):
-        out = out.withColumn(f"__{name}", _spans(text, pattern))
-    value = lambda x, p: F.char_length(F.regexp_extract(x["m"], p, 2))
-    length = lambda x: x["e"] - x["s"]
-    parts = F.concat(
-        _as("assign", F.filter("__assign", lambda x: value(x, ASSIGN) >= 12)),
-        _as("access", F.filter("__access", lambda x: length(x) >= 18)),
-        _as("hex", F.col("__hex")),
-        _as("weak_secret", F.filter("__assign", lambda x: value(x, ASSIGN).between(6, 11))),
-        _as("weak_id", F.filter("__access", lambda x: length(x).between(8, 17))),
-        _as("weak_id", F.filter("__named", lambda x: value(x, NAMED) >= 3)),
-        _as("endpoint", F.col("__url")),
+    sources = ("__assign", "__access", "__hex", "__named", "__url")
+    some = found.where(" OR ".join(f"{c} IS NOT NULL" for c in sources))
+
+    def numbered(n: int, source: str) -> Column:
+        one = lambda x, i: F.struct(F.lit(n).alias("of"), i.alias("i"), x["g"].alias("g"), x["l"].alias("l"), x["v"].alias("v"))
+        return F.coalesce(F.transform(source, one), F.array())
+
+    steps = F.flatten(F.array(*[numbered(n, c) for n, c in enumerate(sources)]))
+    each = some.select("__row", F.explode(steps).alias("x")).select("__row", "x.*")
+    upto = Window.partitionBy("__row", "of").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum((F.col("g") + F.col("l")).cast("bigint")).over(upto)
+    kind = lambda name: F.lit(KINDS.index(name))
+    k = (
+        F.when(F.col("of") == 0, F.when(F.col("v") >= 12, kind("assign")).when(F.col("v") >= 6, kind("weak_secret")))
+        .when(F.col("of") == 1, F.when(F.col("l") >= 18, kind("access")).when(F.col("l") >= 8, kind("weak_id")))
+        .when(F.col("of") == 2, kind("hex"))
+        .when(F.col("of") == 3, F.when(F.col("v") >= 3, kind("weak_id")))
+        .otherwise(kind("endpoint"))
     )
-    return out.withColumn("__parts", parts).drop(column, "__assign", "__access", "__hex", "__named", "__url")
+    return each.withColumn("e", end).withColumn("k", k).where("k IS NOT NULL").select("__row", (F.col("e") - F.col("l")).alias("s"), "k", "e")
 
 
-def _link(found: DataFrame) -> DataFrame:
-    """(__row, __linked): the weak spans whose complementary parts stand within REACH.
+def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
+    """The weak parts whose complementary parts start within ``reach`` code points.
 
-    An interval join by equal blocks of REACH code points: each weak span looks into its own
+    An interval join by equal blocks of ``reach`` code points: each weak span looks into its own
     block and both neighbours, where each part role is summed up by its least and largest
     start, so a text of many parts makes three rows a span and never pairs. Exact, as all of
     its own block is in reach and the nearest start in a neighbour is its least or largest.
     """
     k = lambda name: KINDS.index(name)
-    weak = found.where(F.exists("__parts", lambda x: x["k"] >= k("weak_secret")))
-    parts = weak.select("__row", F.explode("__parts").alias("p")).select("__row", "p.*").distinct()
-    parts = parts.withColumn("block", F.floor(F.col("s") / REACH))
+    parts = parts.withColumn("block", F.floor(F.col("s") / reach))
     role = (
         F.when(F.col("k").isin(k("access"), k("weak_id")), "id")
         .when(F.col("k").isin(k("assign"), k("hex"), k("weak_secret")), "secret")
     )
     sums = parts.withColumn("role", role).where("role IS NOT NULL").groupBy("__row", "block", "role").agg(F.min("s").alias("least"), F.max("s").alias("most"))
     probes = parts.where(F.col("k") >= k("weak_secret")).withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    near = (F.abs(F.col("least") - F.col("s")) <= REACH) | (F.abs(F.col("most") - F.col("s")) <= REACH)
+    near = (F.abs(F.col("least") - F.col("s")) <= reach) | (F.abs(F.col("most") - F.col("s")) <= reach)
     has = lambda r: F.coalesce(F.max(F.when(near & (F.col("role") == r), F.lit(True))), F.lit(False))
     seen = probes.join(sums, ["__row", "block"]).groupBy("__row", "s", "k", "e").agg(has("id").alias("id"), has("secret").alias("secret"))
     whole = (
@@ -100,7 +108,7 @@ def _link(found: DataFrame) -> DataFrame:
         | ((F.col("k") == k("weak_id")) & F.col("secret"))
         | ((F.col("k") == k("endpoint")) & F.col("id") & F.col("secret"))
     )
-    return seen.where(whole).groupBy("__row").agg(F.collect_list(F.struct("s", "k", "e")).alias("__linked"))
+    return seen.where(whole).select("__row", "s", "k", "e")
 
 
 def _listed(spans: Column) -> Column:
@@ -108,26 +116,30 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, column: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, column: str = "text", reach: int = REACH) -> DataFrame:
     """``docs`` without the text but with n_assign, n_access, n_hex, base_spans and spans.
 
     Base kinds as their patterns say, leftmost and non-overlapping per kind; then weak spans
-    whose complementary parts start within REACH code points: a weak secret beside an
+    whose complementary parts start within ``reach`` code points, their scope: a weak secret beside an
     identifier, a weak identifier beside a secret, an endpoint beside both. Spans are
     ``kind:start:end`` (code points, end exclusive) by start, then kind, comma-joined. Null and
     empty texts have none; repeated rows get the same spans each. Columns of these names are
-    replaced.
+    replaced, and names that begin with __ are this operator's own. Texts are read once; only
+    matches are dealt by text and placed, so a text of very many costs a sort of them.
     """
     docs = docs.drop("n_assign", "n_access", "n_hex", "base_spans", "spans")
-    found = common.settle(find_parts(docs, column), "secret-parts")
-    joined = found.join(_link(found), "__row", "left")
-    base = F.sort_array(F.filter("__parts", lambda x: x["k"] < KINDS.index("weak_secret")))
-    every = F.sort_array(F.concat(base, F.coalesce("__linked", F.array().cast("array<struct<s:bigint,k:int,e:bigint>>"))))
-    count = lambda name: F.size(F.filter("__parts", lambda x: x["k"] == KINDS.index(name))).cast("bigint")
+    found = common.settle(find_steps(docs, column), "secret-steps")
+    parts = common.settle(find_parts(found), "secret-parts")
+    weak = KINDS.index("weak_secret")
+    every = parts.where(F.col("k") < weak).unionByName(link(parts, reach))
+    spans = F.sort_array(F.collect_list(F.struct("s", "k", "e")))
+    joined = found.join(every.groupBy("__row").agg(spans.alias("__spans")), "__row", "left")
+    listed = F.coalesce("__spans", F.array().cast("array<struct<s:bigint,k:int,e:bigint>>"))
+    count = lambda name: F.size(F.filter(listed, lambda x: x["k"] == KINDS.index(name))).cast("bigint")
     return joined.select(
         *[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c != column],
         count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
-        _listed(base).alias("base_spans"), _listed(every).alias("spans"),
+        _listed(F.filter(listed, lambda x: x["k"] < weak)).alias("base_spans"), _listed(listed).alias("spans"),
     )
 
 
