@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the only separator of words: space, \t, \n, \v, \f, \r.
 WHITE = " \t\n\x0b\x0c\r"
@@ -18,25 +21,51 @@ WHITE_RUN = r"[\x20\x09-\x0D]+"
 BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_own_base: dict[str, str] = {}
 _shipped: set[str] = set()
+_used: set[str] = set()
 
 
 def _base(spark: SparkSession) -> str:
-    """The shared folder named by the session; a folder of our own only where none is named."""
+    """The shared folder that the session or its context names.
+
+    Only a local session that names none gets a folder of its own: on a cluster each machine
+    would write to its own disk, and reads would come back short.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_base:
-        _own_base[app] = tempfile.mkdtemp(prefix="colsonde-")
-        spark.sparkContext.setCheckpointDir(_own_base[app])
-    return "file://" + _own_base[app]
+    context = spark.sparkContext
+    if not named:
+        found = context._jsc.sc().getCheckpointDir()
+        named = found.get() if found.isDefined() else None
+    if not named:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="colsonde-")
+        context.setCheckpointDir(named)
+        return _base(spark)
+    return named.rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; nothing is created yet."""
-    return f"{_base(spark)}/colsonde/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, where nothing is created yet; deleted when the driver ends.
+
+    Results are read from such tables until then. :func:`sweep` deletes them earlier.
+    """
+    mine = f"{_base(spark)}/colsonde/{spark.sparkContext.applicationId}"
+    if mine not in _used:
+        _used.add(mine)
+        atexit.register(_forget, mine)
+    return f"{mine}/{label}-{uuid.uuid4().hex}"
+
+
+def _forget(uri: str) -> None:
+    with contextlib.suppress(OSError):
+        discard(uri)
+
+
+def sweep() -> None:
+    """Delete all scratch tables of this driver; frames that read from them cannot be run any more."""
+    for uri in _used:
+        _forget(uri)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -66,14 +95,6 @@ def discard(uri: str) -> None:
         files.delete_dir(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs, which it ties to garbage on the driver."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def give_back() -> None:
     """Hand memory that this worker has freed back to the system, for the executor's other processes."""
     import ctypes
@@ -113,6 +134,14 @@ def tidy_group(of, least: int = 1 << 20):
     return whole
 
 
+def map_rows(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any name; ``run`` sees stand-ins for names with dots or backticks."""
+    names = dict.fromkeys([*df.columns, *schema.names])
+    odd = {name: f"__name{i}" for i, name in enumerate(names) if "." in name or "`" in name}
+    inner = T.StructType([T.StructField(odd.get(f.name, f.name), f.dataType, f.nullable) for f in schema])
+    return df.toDF(*[odd.get(c, c) for c in df.columns]).mapInArrow(tidy(run), inner).toDF(*schema.names)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by BATCH_BYTES, unless the session sets their bound itself.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,11 @@ class Automaton:
     """Suffix automaton of several word sequences, for the longest match at each word read.
 
     ``jump[state]`` maps a word's number to the next state; ``length`` and ``link`` are the
-    automaton's own. Windows are looked up from the state whose words end in them.
+    automaton's own. A state holds one sequence of each length above its link's, so a window is
+    the state that holds it and its length: ``full[state]`` are the items of the full window in
+    it, ``short[state]`` those of short items by their lengths. ``whole`` and ``above`` lead from
+    a state along its links to the one that holds its full window, and the next one with
+    short items.
     """
 
     def __init__(self, items: list[tuple[object, str]], window: int):
@@ -37,19 +42,36 @@ class Automaton:
         self.number: dict[bytes, int] = {}
         self.jump: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        #: Items by window (full ones by their words' numbers; short items by length, then words).
-        self.full: dict[tuple[int, ...], set] = {}
-        self.short: dict[int, dict[tuple[int, ...], set]] = {}
+        read = []
         for item, text in items:
             words = [self.number.setdefault(w, len(self.number)) for w in item_words(text)]
             last = 0
             for w in words:
                 last = self._extend(last, w)
-            if len(words) >= window:
-                for i in range(len(words) - window + 1):
-                    self.full.setdefault(tuple(words[i : i + window]), set()).add(item)
-            elif words:
-                self.short.setdefault(len(words), {}).setdefault(tuple(words), set()).add(item)
+            read.append((item, words))
+        self._lead()
+        self.full: dict[int, set] = {}
+        self.short: dict[int, dict[int, set]] = {}
+        for item, words in read:
+            state = 0
+            for i, w in enumerate(words):
+                state = self.jump[state][w]
+                if i + 1 >= window:
+                    self.full.setdefault(self.whole[state], set()).add(item)
+            if 0 < len(words) < window:
+                self.short.setdefault(state, {}).setdefault(len(words), set()).add(item)
+        self._lead()
+        self.least = min([window, *(n for found in self.short.values() for n in found)])
+
+    def _lead(self) -> None:
+        """``whole`` and ``above`` of all states, shorter ones first, as links lead to them."""
+        n, short = len(self.jump), getattr(self, "short", {})
+        self.whole, self.above = [0] * n, [0] * n
+        for state in sorted(range(1, n), key=self.length.__getitem__):
+            up = self.link[state]
+            if self.length[state] >= self.window:
+                self.whole[state] = self.whole[up] if self.length[up] >= self.window else state
+            self.above[state] = up if up in short else self.above[up]
 
     def _new(self, length: int) -> int:
         self.jump.append({})
@@ -83,9 +105,7 @@ class Automaton:
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """(merged spans of words inside windows, items whose windows occur)."""
         number, jump, link, length = self.number.get, self.jump, self.link, self.length
-        shorts, window = sorted(self.short, reverse=True), self.window
-        least = min([window, *shorts])
-        recent: list[int] = []
+        full, short, whole, above, window, least = self.full, self.short, self.whole, self.above, self.window, self.least
         spans: list[tuple[int, int]] = []
         items: set = set()
         state = match = 0
@@ -103,19 +123,20 @@ class Automaton:
             match += 1
             if match < least:
                 continue
-            recent = [number(x) for x in words[i + 1 - min(match, window) : i + 1]]
             start = i + 1
             if match >= window:
-                found = self.full.get(tuple(recent))
+                found = full.get(whole[state])
                 if found:
                     items |= found
                     start = i + 1 - window
-            for n in shorts:
-                if n <= match:
-                    found = self.short[n].get(tuple(recent[-n:]))
-                    if found:
-                        items |= found
-                        start = min(start, i + 1 - n)
+            if short:
+                at = state if state in short else above[state]
+                while at:
+                    for n, found in short[at].items():
+                        if n <= match:
+                            items |= found
+                            start = min(start, i + 1 - n)
+                    at = above[at]
             if start <= i:
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
@@ -124,16 +145,22 @@ class Automaton:
 
 
 def _blocks(items: DataFrame, key: str, column: str) -> list[DataFrame]:
-    """The items in blocks of at most BLOCK_BYTES (or one longer item), whose size is proven first."""
-    sized = items.select(F.col(key).alias("item"), common.text_of(column).alias("text")).where("text <> ''")
-    total, longest = sized.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    """The items in blocks of at most BLOCK_BYTES each, as measured, but for one longer item on its own."""
+    sized = items.select(F.col(key).alias("item"), common.text_of(column).alias("text")).where("text <> ''").distinct()
+    size = F.octet_length("text") + F.coalesce(F.octet_length(F.col("item").cast("string")), F.lit(0))
+    total = sized.agg(F.sum(size)).first()[0]
     if not total:
         return []
-    parts = -(-total // max(1, BLOCK_BYTES // 2)) if total > BLOCK_BYTES else 1
-    if parts == 1:
+    if total <= BLOCK_BYTES:
         return [sized]
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
-    return [sized.where(part == k) for k in range(parts)]
+    sized = common.settle(sized, "benchmark-items")
+    parts = -(-total // (BLOCK_BYTES // 2))
+    while True:
+        part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+        found = sized.groupBy(part.alias("part")).agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("n"))
+        if found.where((F.col("size") > BLOCK_BYTES) & (F.col("n") > 1)).isEmpty():
+            return [sized.where(part == k) for k in range(parts)]
+        parts *= 2
 
 
 _built: dict[str, Automaton] = {}
@@ -163,6 +190,7 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = 13, column: str
     out = out.withColumn("__items", F.array().cast("array<string>"))
     schema = out.schema
     for sized in _blocks(items, item_key, item_column) or [None]:
+        # A block has been measured, so this is bounded by BLOCK_BYTES, or is one longer item.
         rows = [] if sized is None else [[r.item if r.item is None else str(r.item), r.text] for r in sized.collect()]
         packed = json.dumps(rows, ensure_ascii=False)
         name = hashlib.sha256(packed.encode()).hexdigest()
@@ -187,7 +215,7 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = 13, column: str
                         columns[at[column_name]] = pa.array(values, slab.schema.field(column_name).type)
                     yield pa.RecordBatch.from_arrays(columns, names=slab.schema.names)
 
-        out = out.mapInArrow(common.tidy(run), schema)
+        out = common.map_rows(out, run, schema)
     return out.drop("__text")
 
 
@@ -213,27 +241,39 @@ def judge(docs: DataFrame, items: DataFrame, window: int = 13, per_cent: int = 5
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= per_cent * F.col("n_words")))
 
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the given spans of words, each from its first word's start to its last word's end."""
+    raw, out, at = text.encode(), [], 0
+    places = [m.span() for m in _WORD.finditer(raw)]
+    for a, b in spans:
+        out.append(raw[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*out, raw[at:]]).decode()
+
+
 def cut_spans(judged: DataFrame, column: str = "text") -> DataFrame:
     """Cut hit spans of contaminated documents from ``column``, which keeps all else unchanged.
 
-    Words are found again by their separators; a hit span goes from the first character of its
-    first word to the last of its last.
+    A hit span goes from the first character of its first word to the last of its last. Rows
+    and columns stay as they are otherwise; null texts stay null.
     """
-    words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    text = F.coalesce(F.col(column), F.lit(""))
-    folded = common.ascii_lower(text)
-    pieces = F.zip_with(F.split(folded, words, -1), F.regexp_extract_all(folded, F.lit(words), F.lit(0)), lambda g, w: F.struct(F.char_length(g).alias("g"), F.char_length(w).alias("w")))
-
-    def step(acc, x):
-        hit = F.exists("__spans", lambda s: (s["a"] <= acc["i"]) & (acc["i"] < s["b"]))
-        joined = hit & F.exists("__spans", lambda s: (s["a"] < acc["i"]) & (acc["i"] < s["b"]))
-        gap = F.when(joined, F.lit("")).otherwise(F.substring(text, acc["at"] + 1, F.coalesce(x["g"], F.lit(0))))
-        word = F.when(hit, F.lit("")).otherwise(F.substring(text, acc["at"] + 1 + F.coalesce(x["g"], F.lit(0)), F.coalesce(x["w"], F.lit(0))))
-        return F.struct((acc["at"] + F.coalesce(x["g"], F.lit(0)) + F.coalesce(x["w"], F.lit(0))).alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], gap, word).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("out"))
-    cut = F.aggregate(pieces, zero, step)["out"]
-    return judged.withColumn(column, F.when(F.col("contaminated"), cut).otherwise(F.col(column)))
+    common.ship(judged.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for slab in slabs(batch, column):
+                at = {n: i for i, n in enumerate(slab.schema.names)}
+                texts = slab.column(at[column]).to_pylist()
+                spans, bad = slab.column(at["__spans"]).to_pylist(), slab.column(at["contaminated"]).to_pylist()
+                cut = [cut_text(t, [(s["a"], s["b"]) for s in spans[i]]) if bad[i] and t else t for i, t in enumerate(texts)]
+                columns = list(slab.columns)
+                columns[at[column]] = pa.array(cut, slab.schema.field(column).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=slab.schema)
+
+    return common.map_rows(judged, run, judged.schema)
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

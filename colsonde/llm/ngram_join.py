@@ -287,7 +287,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
         return _sets(blocks.one_column(rows, "text"), n)[0], None
 
     counted = blocks.post(source.drop("doc_id"), tokens, bits, stretch, True, True, "join-counts")
-    common.release(spark)
 
     def prefixes(batches):
         for block, rows in blocks.runs(batches, stretch):
@@ -397,7 +396,7 @@ def keep_one(docs: DataFrame, n: int = 5, per_cent: int = 80, is_scan: bool = Fa
             if at:
                 yield from rows.take(pa.array(at, pa.int64())).to_batches()
 
-    return blocks.named(source).mapInArrow(common.tidy(run), source.schema)
+    return common.map_rows(blocks.named(source), run, source.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

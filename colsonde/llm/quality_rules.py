@@ -18,7 +18,9 @@ class Fence:
     """A measure passes up to q75 + spread * (q75 - q25) + slack; ``low`` also bounds below.
 
     Measures are integers: symbols, duplicate lines and repeated words in thousandths of word
-    characters, lines and words; mean word length in hundredths of a character.
+    characters, lines and words; mean word length in hundredths of a character. Lines count
+    as FEW_LINES more and words as FEW_WORDS more, so that one repeat in a short text weighs
+    little.
     """
 
     spread: int
@@ -33,14 +35,18 @@ FENCES = {
     "word_length": Fence(4, 150, True),
 }
 
-#: Groups of fewer documents take the thresholds of all documents.
-MIN_GROUP = 100
+#: Added to the lines and words that repeats are measured against.
+FEW_LINES, FEW_WORDS = 5, 50
+#: Documents' worth of the wider group's limit that is blended into a group's own.
+PRIOR = 100
+#: A group's own limit counts as at most so many times the wider group's.
+WIDEST = 2
 #: Significant bits of a sketched value: errors stay within 1/32 of it.
 SKETCH_BITS = 6
 
 
 def base_counts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, __lines and __row added.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and __lines added.
 
     All are found within the row: 3-word windows by sorting the row's own window hashes.
     """
@@ -65,8 +71,6 @@ def base_counts(docs: DataFrame, column: str = "text") -> DataFrame:
         (F.size("__full") - F.size(F.array_distinct("__full"))).cast("bigint").alias("n_dup_lines"),
         F.coalesce(F.size(covered), F.lit(0)).cast("bigint").alias("n_repeat_words"),
         F.size("__full").cast("bigint").alias("__lines"),
-        # A barrier: filters on the counts would else be pushed below them and repeat them all.
-        F.monotonically_increasing_id().alias("__row"),
     )
 
 
@@ -77,8 +81,8 @@ def _base_failed() -> Column:
 def _measures() -> dict[str, Column]:
     return {
         "symbols": F.expr("if(word_chars > 0, (1000 * n_symbols) div word_chars, 0L)"),
-        "dup_lines": F.expr("if(__lines > 0, (1000 * n_dup_lines) div __lines, 0L)"),
-        "repeats": F.expr("if(n_words > 0, (1000 * n_repeat_words) div n_words, 0L)"),
+        "dup_lines": F.expr(f"(1000 * n_dup_lines) div (__lines + {FEW_LINES})"),
+        "repeats": F.expr(f"(1000 * n_repeat_words) div (n_words + {FEW_WORDS})"),
         "word_length": F.expr("if(n_words > 0, (100 * word_chars) div n_words, 0L)"),
     }
 
@@ -97,7 +101,7 @@ def sketch(counted: DataFrame) -> DataFrame:
     """
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), _rounded(v).alias("cell")) for k, v in _measures().items()]))
     return (
-        counted.where(~_base_failed() & (F.col("__row") >= 0))
+        counted.where(~_base_failed())
         .select("lang", "source", cells.alias("c"))
         .groupBy("lang", "source", "c.measure", "c.cell")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -114,32 +118,50 @@ def _limits(cells: DataFrame, by: list[str]) -> DataFrame:
     spread = F.coalesce(*[F.when(F.col("measure") == k, F.lit(f.spread)) for k, f in FENCES.items()])
     slack = F.coalesce(*[F.when(F.col("measure") == k, F.lit(f.slack)) for k, f in FENCES.items()])
     reach = spread * (F.col("q75") - F.col("q25")) + slack
-    per = per.withColumn("hi", F.col("q75") + reach).withColumn("lo", F.col("q25") - reach)
+    per = per.withColumn("hi", F.col("q75") + reach).withColumn("lo", F.greatest(F.col("q25") - reach, F.lit(0)))
     picks = [F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"__{side}_{k}") for k in MEASURES for side in ("lo", "hi")]
     return per.groupBy(*by).agg(F.max("total").alias("__docs"), *picks)
 
 
+def _blend(own: DataFrame, wider: dict[str, Column], keep: list[str]) -> DataFrame:
+    """Limits of groups, pulled to those of the ``wider`` group by PRIOR documents' worth of it."""
+    out = []
+    for k in MEASURES:
+        for side in ("lo", "hi"):
+            mine, theirs = F.col(f"__{side}_{k}"), wider[f"__{side}_{k}"]
+            bounded = F.least(mine, theirs * WIDEST) if side == "hi" else F.greatest(mine, F.floor(theirs / WIDEST).cast("bigint"))
+            blended = F.floor((F.col("__docs") * bounded + PRIOR * theirs).cast("decimal(38,0)") / (F.col("__docs") + PRIOR))
+            out.append(blended.cast("bigint").alias(f"__{side}_{k}"))
+    return own.select(*keep, *out)
+
+
 def thresholds(cells: DataFrame) -> DataFrame:
-    """(lang, source, __lo_*, __hi_*) of every group, small ones with the thresholds of all documents."""
+    """(lang, source, __lo_*, __hi_*) of every group: blended with its language's, and those with all documents'.
+
+    The smaller a group, the nearer it is to its language; there is no size at which that
+    changes at once. A group full of junk widens its own limits up to WIDEST times its
+    language's, a language up to that many times those of all.
+    """
     cells = common.settle(cells, "quality-cells")
-    own, everyone = _limits(cells, ["lang", "source"]), _limits(cells.withColumn("__all", F.lit(1)), ["__all"])
+    everyone = _limits(cells, []).first()  # one row, or none
     names = [f"__{side}_{k}" for k in MEASURES for side in ("lo", "hi")]
-    both = own.withColumn("__all", F.lit(1)).alias("o").join(everyone.alias("e"), "__all")
-    small = F.col("o.__docs") < MIN_GROUP
-    return both.select("lang", "source", *[F.when(small, F.col(f"e.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in names])
+    langs = _blend(_limits(cells, ["lang"]), {c: F.lit(everyone[c] if everyone else 0).cast("bigint") for c in names}, ["lang"])
+    langs = langs.select(F.col("lang").alias("__lang"), *[F.col(c).alias(f"{c}_wide") for c in names])
+    own = _limits(cells, ["lang", "source"]).join(langs, F.col("lang").eqNullSafe(F.col("__lang")))
+    return _blend(own, {c: F.col(f"{c}_wide") for c in names}, ["lang", "source"])
 
 
 def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
     """``counted`` with base_failed and kept: the joined filter."""
     limits = limits.withColumnRenamed("lang", "__lang").withColumnRenamed("source", "__source")
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
-    passed = F.col("__row") >= 0
+    passed = F.lit(True)
     for k, value in _measures().items():
         passed = passed & (value <= F.col(f"__hi_{k}"))
         if FENCES[k].low:
             passed = passed & (value >= F.col(f"__lo_{k}"))
     out = joined.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(passed, F.lit(False)))
-    return out.drop(*limits.columns, "__row")
+    return out.drop(*limits.columns)
 
 
 def apply_rules(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -147,15 +169,16 @@ def apply_rules(docs: DataFrame, column: str = "text") -> DataFrame:
 
     The base fails texts of under 50 words, and those of which more than half the words lie in
     3-word windows found twice or more. The method judges the rest by thresholds read from
-    quantile sketches of their (lang, source) group, or of all documents in groups of under
-    100. Null and empty texts have no words and fail; null lang or source make groups of their
-    own; repeated rows count each time. Columns named as the results are replaced. Texts are
-    read twice and never shuffled: once for the sketches, once for the verdicts.
+    quantile sketches of their (lang, source) group, blended with those of their language and
+    of all documents (:func:`thresholds`). Null and empty texts have no words and fail; null
+    lang or source make groups of their own; repeated rows count each time. Columns named as
+    the results are replaced. Texts are read and counted once, written with their counts for
+    the verdicts, and never shuffled.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    docs = docs.drop(*names)
-    limits = common.settle(thresholds(sketch(base_counts(docs.select("lang", "source", F.col(column)), column))), "quality-limits")
-    return judge(base_counts(docs, column), limits).drop("__lines")
+    counted = common.settle(base_counts(docs.drop(*names), column), "quality-counts")
+    limits = common.settle(thresholds(sketch(counted)), "quality-limits")
+    return judge(counted, limits).drop("__lines")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -170,8 +193,8 @@ def digest(docs: DataFrame) -> DataFrame:
 def _sql() -> str:
     ratio = {
         "symbols": "CASE WHEN word_chars > 0 THEN (1000 * n_symbols) // word_chars ELSE 0 END",
-        "dup_lines": "CASE WHEN n_lines > 0 THEN (1000 * n_dup_lines) // n_lines ELSE 0 END",
-        "repeats": "CASE WHEN n_words > 0 THEN (1000 * n_repeat_words) // n_words ELSE 0 END",
+        "dup_lines": f"(1000 * n_dup_lines) // (n_lines + {FEW_LINES})",
+        "repeats": f"(1000 * n_repeat_words) // (n_words + {FEW_WORDS})",
         "word_length": "CASE WHEN n_words > 0 THEN (100 * word_chars) // n_words ELSE 0 END",
     }
     cell = f"(value // (1::BIGINT << greatest(length(bin(value)) - {SKETCH_BITS}, 0))) * (1::BIGINT << greatest(length(bin(value)) - {SKETCH_BITS}, 0))"
@@ -181,12 +204,16 @@ def _sql() -> str:
 
     def limits(by: str) -> str:
         return f"""
-        SELECT {by}, measure, total, q25 - reach AS lo, q75 + reach AS hi FROM (
+        SELECT {by}, measure, total, greatest(q25 - reach, 0) AS lo, q75 + reach AS hi FROM (
           SELECT *, (CASE measure {spread} END) * (q75 - q25) + (CASE measure {slack} END) AS reach FROM (
             SELECT {by}, measure, max(total) AS total, min(cell) FILTER (upto * 4 >= total) AS q25, min(cell) FILTER (upto * 4 >= total * 3) AS q75 FROM (
               SELECT {by}, measure, cell, sum(n) OVER (PARTITION BY {by}, measure ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY {by}, measure) AS total
               FROM (SELECT {by}, measure, cell, count(*) AS n FROM cells GROUP BY ALL)) GROUP BY ALL))"""
 
+    blended = (
+        f"(o.total * greatest(o.lo, e.lo // {WIDEST}) + {PRIOR} * e.lo) // (o.total + {PRIOR}) AS lo, "
+        f"(o.total * least(o.hi, {WIDEST} * e.hi) + {PRIOR} * e.hi) // (o.total + {PRIOR}) AS hi"
+    )
     verdict = " AND ".join(
         [f"coalesce(max(hi) FILTER (measure = '{k}') >= any_value({k}), false)" for k in MEASURES]
         + [f"coalesce(max(lo) FILTER (measure = '{k}') <= any_value({k}), false)" for k, f in FENCES.items() if f.low]
@@ -211,11 +238,10 @@ counts AS (
 base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 cells AS (SELECT 1 AS one, lang, source, measure, {cell} AS cell FROM ({measures})),
 own AS ({limits("lang, source")}),
+langs AS ({limits("lang")}),
 everyone AS ({limits("one")}),
-lim AS (
-  SELECT own.lang, own.source, own.measure, CASE WHEN own.total < {MIN_GROUP} THEN e.lo ELSE own.lo END AS lo,
-         CASE WHEN own.total < {MIN_GROUP} THEN e.hi ELSE own.hi END AS hi
-  FROM own JOIN everyone e ON own.measure = e.measure),
+wide AS (SELECT o.lang, o.measure, {blended} FROM langs o JOIN everyone e ON o.measure = e.measure),
+lim AS (SELECT o.lang, o.source, o.measure, {blended} FROM own o JOIN wide e ON o.measure = e.measure AND o.lang IS NOT DISTINCT FROM e.lang),
 v AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in ratio.items())} FROM base)
 SELECT v.doc_id, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols,
        any_value(n_dup_lines) AS n_dup_lines, any_value(n_repeat_words) AS n_repeat_words, any_value(base_failed) AS base_failed,

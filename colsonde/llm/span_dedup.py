@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colsonde.llm import blocks, common
 from colsonde.llm.wordhash import grow, sliding_min, window_hashes, word_hashes
@@ -143,8 +144,7 @@ def remove_repeated_spans(docs: DataFrame, window: int = 35, column: str = "text
                 yield from pa.table([*part.columns, *more], names=names).to_batches()
 
     carried = blocks.named(source.withColumn("__text", common.text_of(column)))
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in source.schema)
-    return carried.mapInArrow(common.tidy(cut), f"{schema}, {_OUT}")
+    return common.map_rows(carried, cut, T.StructType([*source.schema, *T.StructType.fromDDL(_OUT)]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,18 +1,4 @@
-from colsonde.llm import decontaminate, line_runs, quality_model, quality_rules, secret_links
-from colsonde.llm.decontaminate import Automaton, cut_spans, judge
-
-ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
-
-
-def test_automaton_and_cut(spark, make_docs):
-    items = spark.createDataFrame([(7, ITEM), (8, "Short item!"), (9, None), (10, "")], "item_id bigint, text string")
-    rows = [(1, f"Before, {ITEM.upper()}! after"), (2, "a short, item here"), (3, "one two three four"), (4, None), (5, "x " * 500 + "short item")]
-    got = {r.doc_id: r for r in cut_spans(judge(make_docs(rows), items)).collect()}
-    assert (got[1].n_words, got[1].n_hit, got[1].items, got[1].contaminated, got[1].text) == (16, 14, "7", True, "Before, ! after")
-    assert (got[2].items, got[2].text) == ("8", "a  here")
-    assert (got[3].n_hit, got[4].n_words, got[4].contaminated) == (0, 0, False)
-    assert (got[5].n_hit, got[5].contaminated) == (2, False)
-    assert Automaton([(1, "a b a b c")], 3).scan([b"a", b"b", b"a", b"b", b"a", b"b", b"c"]) == ([(0, 7)], {1})
+from colsonde.llm import line_runs, quality_model, quality_rules, secret_links
 
 
 def test_empty_tables_and_nulls(spark, make_docs):

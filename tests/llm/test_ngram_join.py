@@ -79,6 +79,9 @@ def test_keep_one(make_docs):
     kept = keep_one(make_docs(rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 7, 8, 9, None]
+    clash = [(1, "a b", "x", 5), (2, "a b", "y", 6)]
+    row = keep_one(make_docs(clash, "doc_id bigint, text string, node string, `a.b` int")).collect()
+    assert [(r.doc_id, r.node, r["a.b"]) for r in row] == [(1, "x", 5)]
 
 
 def test_repeated_and_null_ids(make_docs):

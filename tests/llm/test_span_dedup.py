@@ -56,9 +56,9 @@ def test_other_lengths_and_kept_text(make_docs):
 
 def test_empty_and_clashing_columns(spark, make_docs):
     assert digest(make_docs([])).collect() == []
-    docs = make_docs([(1, "a b " * 40, "n", 2)], "doc_id bigint, text string, n_words string, kept_text int")
+    docs = make_docs([(1, "a b " * 40, "n", 2, 3)], "doc_id bigint, text string, n_words string, kept_text int, `a.b` int")
     out = remove_repeated_spans(docs).collect()[0]
-    assert (out.doc_id, out.n_words, out.n_removed) == (1, 80, 80)
+    assert (out.doc_id, out.n_words, out.n_removed, out["a.b"]) == (1, 80, 80, 3)
 
 
 def parity_words(n=1024):

@@ -24,21 +24,31 @@ def quality(rows, _):
         again = len({p for k, g in enumerate(grams) if seen[g] > 1 for p in (k, k + 1, k + 2)})
         if n >= 50 and 100 * again <= 50 * n:
             symbols = len(re.findall(r"[#*$%&|<>]", text))
-            measured[i] = dict(zip(LIMITS, (1000 * symbols // chars, 1000 * (len(lines) - len(set(lines))) // len(lines), 1000 * again // n, 100 * chars // n), strict=True))
-    groups = defaultdict(list)
-    for i, m in measured.items():
-        groups[rows[i].lang, rows[i].source].append(m)
+            measured[i] = dict(zip(LIMITS, (1000 * symbols // chars, 1000 * (len(lines) - len(set(lines))) // (len(lines) + 5), 1000 * again // (n + 50), 100 * chars // n), strict=True))
 
-    def fits(i, m):
-        own = groups[rows[i].lang, rows[i].source]
-        of = own if len(own) >= 100 else list(measured.values())
+    def limits(of):
+        out = {}
         for k, (spread, slack) in LIMITS.items():
-            cells = sorted(v >> d << d for x in of for v in [x[k]] for d in [max(0, len(bin(v)) - 2 - 6)])
+            cells = sorted(v >> d << d for m in of for v in [m[k]] for d in [max(0, len(bin(v)) - 2 - 6)])
             low, high = (cells[-(-len(cells) * q // 4) - 1] for q in (1, 3))
             reach = spread * (high - low) + slack
-            if m[k] > high + reach or k == "word_length" and m[k] < low - reach:
-                return False
-        return True
+            out[k] = max(low - reach, 0), high + reach
+        return out
+
+    def blend(of, wide):
+        n, own = len(of), limits(of)
+        return {k: ((n * max(own[k][0], wide[k][0] // 2) + 100 * wide[k][0]) // (n + 100), (n * min(own[k][1], 2 * wide[k][1]) + 100 * wide[k][1]) // (n + 100)) for k in own}
+
+    groups = defaultdict(list)
+    for i, m in measured.items():
+        groups[rows[i].lang, None].append(m)
+        groups[rows[i].lang, "of", rows[i].source].append(m)
+    everyone = limits(list(measured.values()))
+
+    def fits(i, m):
+        lang = blend(groups[rows[i].lang, None], everyone)
+        own = blend(groups[rows[i].lang, "of", rows[i].source], lang)
+        return all(m[k] <= own[k][1] for k in m) and m["word_length"] >= own["word_length"][0]
 
     return {i: rows[i].text for i, m in measured.items() if fits(i, m)}
 
