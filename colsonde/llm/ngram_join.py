@@ -179,15 +179,16 @@ def _cells(large: DataFrame) -> DataFrame:
     return met.select("node", "component", cell.alias("cell"), (theirs < mine).cast("int").alias("side"))
 
 
-def _rings(large: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """``large`` with each member's ring about its cluster's pivot, the least member.
+def _rings(clusters: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """``clusters`` with each member's ring about its cluster's pivot, the least member, and whether it is that.
 
     1 - similarity is a metric. Rings are as wide as the distance of linked documents, ring 0
     with its border, so linked documents lie in the same or in neighbouring rings. The pivot's
     set is sent once to every CHUNK members or so.
     """
-    sizes = large.groupBy("component").agg(F.min("node").alias("pivot"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("k"))
-    members = large.join(sizes, "component").select("node", "component", F.pmod(F.xxhash64("node"), "k").cast("int").alias("salt"), F.lit(False).alias("pivot"))
+    sizes = clusters.groupBy("component").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("docs")).withColumn("k", F.ceil(F.col("docs") / CHUNK).cast("int"))
+    members = clusters.join(sizes, "component").withColumn("is_pivot", F.col("node") == F.col("pivot"))
+    salted = members.select("node", "component", F.pmod(F.xxhash64("node"), "k").cast("int").alias("salt"), F.lit(False).alias("pivot"))
     pivots = sizes.select(F.col("pivot").alias("node"), "component", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(True).alias("pivot"))
 
     def measure(group: pa.Table) -> pa.Table:
@@ -201,34 +202,30 @@ def _rings(large: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
         ring = np.maximum(-(-100 * (union - both) // ((100 - per_cent) * union)) - 1, 0)
         return pa.table({"node": group.column("node").take(pa.array(rest)), "ring": pa.array(ring, pa.int32())})
 
-    found = members.unionByName(pivots).join(sets, "node").groupBy("component", "salt").applyInArrow(common.tidy_group(measure), "node binary, ring int")
-    return large.join(found, "node")
+    found = salted.unionByName(pivots).join(sets, "node").groupBy("component", "salt").applyInArrow(common.tidy_group(measure), "node binary, ring int")
+    return members.select("node", "component", "n", "docs", "pivot", "is_pivot").join(found, "node")
 
 
 def _compare(sets: DataFrame, clusters: DataFrame, per_cent: int) -> DataFrame:
     """Links (a, b) that join up all truly linked documents of each cluster (node, component, n).
 
-    A cluster of up to CHUNK documents is one comparison. Members of a larger one are measured
-    against a pivot first and linked to it; what is left to compare are documents of equal or
-    neighbouring rings (:func:`_rings`) and size classes, so wide that only neighbours can be
-    linked, but for ring 0 with itself. Every two chunks of those are compared in a task group of
-    their own, which gives out a spanning forest of the links it finds, never all pairs.
+    All members are measured against their cluster's pivot and linked to it first. What is left
+    to compare are pairs without the pivot and not both in ring 0 (:func:`_rings`). Clusters that
+    have such pairs are compared whole up to CHUNK documents; in larger ones, documents of equal
+    or neighbouring rings and size classes, so wide that only neighbours can be linked, are
+    dealt into cells. A comparison gives out a spanning forest of the links it finds, never
+    all pairs.
     """
-    total = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("docs"))
-    rows = common.settle(clusters.join(total, "component"), "join-sized")
-    small = rows.where(F.col("docs") <= CHUNK).select("node", "component", F.lit("").alias("cell"), F.lit(0).alias("side"))
-    large = rows.where(F.col("docs") > CHUNK).select("node", "component", "n")
-    none = rows.sparkSession.createDataFrame([], "a binary, b binary")
     if per_cent == 100:
-        return none  # equal sets are one node already
-    starred = none
-    if not large.isEmpty():
-        # Classes start at sizes found by whole numbers: n * 100 >= per_cent * m for linked sizes n <= m.
-        size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / per_cent)) * (1 - 1e-9)).cast("int")
-        large = common.settle(_rings(large, sets, per_cent).withColumn("class", size), "join-rings")
-        pivots = large.groupBy("component").agg(F.min("node").alias("pivot"))
-        starred = large.where("ring = 0").join(pivots, "component").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        small = small.unionByName(_cells(large))
+        return sets.sparkSession.createDataFrame([], "a binary, b binary")  # equal sets are one node already
+    # Classes neighbour each other if n * 100 >= per_cent * m for sizes n <= m, whatever a logarithm's last bits.
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / per_cent)) * (1 - 1e-9)).cast("int")
+    rows = common.settle(_rings(clusters, sets, per_cent).withColumn("class", size), "join-rings")
+    starred = rows.where("ring = 0 AND NOT is_pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    left = rows.groupBy("component").agg(F.max("ring").alias("most")).where("most > 0").select("component")
+    rest = rows.where("docs > 2 AND NOT is_pivot").join(left, "component")
+    small = rest.where(F.col("docs") <= CHUNK).select("node", "component", F.lit("").alias("cell"), F.lit(0).alias("side"))
+    small = small.unionByName(_cells(rest.where(F.col("docs") > CHUNK)))
 
     def verify(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
