@@ -39,6 +39,11 @@ def family_of(dtype: T.DataType) -> DtypeFamily:
     return DtypeFamily.OTHER
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 @dataclass(frozen=True)
 class Kernel:
     """A column's family and the expressions built from it; none of them runs a job."""

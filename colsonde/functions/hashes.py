@@ -37,6 +37,14 @@ class HashConfiguration:
             raise ValueError("hashes have 64 bits")
         if self.null_policy != "exclude":
             raise ValueError("nulls are always excluded")
+        for name in ("algorithm_id", "engine_id", "canonicalisation_version", "runtime_id", "runtime_version", "kernel_id"):
+            given = getattr(self, name)
+            if given is None and name in ("runtime_id", "runtime_version", "kernel_id"):
+                continue
+            if not isinstance(given, str):
+                raise TypeError(f"{name} must be text")
+            if not given.strip():
+                raise ValueError(f"{name} must not be empty")
         if len({x is None for x in (self.runtime_id, self.runtime_version, self.kernel_id)}) > 1:
             raise ValueError("runtime_id, runtime_version and kernel_id go together")
 
@@ -47,6 +55,9 @@ class HashConfiguration:
             raise ValueError(f"already bound to {self.kernel_id}")
         return bound
 
+    def unbound(self) -> HashConfiguration:
+        return replace(self, kernel_id=None, runtime_id=None, runtime_version=None)
+
     def as_dict(self) -> dict:
         return asdict(self)
 

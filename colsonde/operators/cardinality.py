@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from dataclasses import replace
 from typing import Any, Protocol
 
 import pyspark
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 
 from colsonde import errors
 from colsonde import vocabulary as V
-from colsonde.functions.families import SLOT_BYTES, Kernel
+from colsonde.functions.families import SLOT_BYTES, Kernel, named
 from colsonde.operators.registers import estimated, rank_of, register_of
 from colsonde.plans.report import AdaptiveCardinalityConfig, AdaptiveCardinalityResult, ColumnCardinalityOutcome, DataFrameCardinalityResult, PromotionMetadata
 from colsonde.sources.intake import DEFAULT_BACKEND_REGISTRY, BackendRegistry, DataFrameInput, resolve_dataframe_input, to_spark
@@ -22,6 +23,8 @@ from colsonde.sources.schema import whole_number
 ALL = object()
 #: Columns that one job profiles; wider frames take more jobs.
 WIDTH = 32
+#: What is run under each policy, as lineage states it.
+STRATEGIES = {"two_stage": "routed_by_sketch_then_exact_or_hll", "exact_only": "exact_only", "hll_only": "hll_only"}
 #: Precision, and so error, of the sketch that only routes.
 ROUTE_PRECISION = 14
 ROUTE_MARGIN = 6 * 1.04 / math.sqrt(1 << ROUTE_PRECISION)
@@ -137,7 +140,7 @@ def _profile(df: DataFrame, positions: list[int], config: AdaptiveCardinalityCon
             reason = promotion_reason(unique > limit, size > config.exact_memory_budget_bytes)
             if config.policy == "exact_only" or (config.keep_exact and reason is V.PromotionReason.MEMORY_THRESHOLD and i not in over):
                 reason = None
-            out[i] = {"non_null": routed[f"n{i}"], "unique": unique, "bytes": size, "distinct": unique, "reason": reason}
+            out[i] = {"modelled": i in over, "non_null": routed[f"n{i}"], "unique": unique, "bytes": size, "distinct": unique, "reason": reason}
             if reason is not None or i in over:
                 promoted[i] = ()
         for i, (zero, estimate) in _sketched(rows, promoted, config.hll_precision).items():
@@ -145,7 +148,7 @@ def _profile(df: DataFrame, positions: list[int], config: AdaptiveCardinalityCon
     return (df.count() if total is None else total), out
 
 
-def _lineage(item: DataFrameInput, spark: SparkSession, label: object, position: int, dtype: Any, nullable: bool, kernel: Kernel, pipeline: dict | None) -> dict:
+def _lineage(item: DataFrameInput, spark: SparkSession, label: object, position: int, dtype: Any, nullable: bool, kernel: Kernel, config: AdaptiveCardinalityConfig, pipeline: dict | None) -> dict:
     try:
         zone = spark.conf.get("spark.sql.session.timeZone")
     except Exception:
@@ -161,10 +164,10 @@ def _lineage(item: DataFrameInput, spark: SparkSession, label: object, position:
         "dataframe_type": item.backend.dataframe_type,
         "dtype_family": kernel.family.value,
         "hash_kernel": {"kernel_id": kernel.kernel_id, "exact_representation": kernel.representation},
-        "hash_execution": "spark_sql_xxhash64_distributed",
+        "hash_execution": f"{config.hash_configuration.engine_id.rsplit('.', 1)[-1]}_expression_distributed",
         "spark_session_timezone": zone,
         "distributed_execution": True,
-        "adaptive_strategy": "two_stage_exact_then_hll",
+        "adaptive_strategy": STRATEGIES[config.policy],
     }
 
 
@@ -195,12 +198,14 @@ class SparkCardinalityAdapter:
                 continue
             x = numbers[i]
             exact = "raw" not in x
+            # The contract of this column's hashes, so that stored sketches can be matched with the report.
+            bound = replace(config, hash_configuration=config.hash_configuration.bind(kernel.kernel_id))
             outcomes.append(ColumnCardinalityOutcome(labels[i], i, AdaptiveCardinalityResult(
-                distinct_count=x["distinct"], final_mode=V.CardinalityMode.EXACT if exact else V.CardinalityMode.HLL, total_row_count=total, non_null_count=x["non_null"], config=config,
+                distinct_count=x["distinct"], final_mode=V.CardinalityMode.EXACT if exact else V.CardinalityMode.HLL, total_row_count=total, non_null_count=x["non_null"], config=bound,
                 promotion=PromotionMetadata(False) if exact else PromotionMetadata(True, x["reason"], None, None, x["unique"], x["bytes"]),
                 unique_seen=x["unique"], state_bytes=x["bytes"], representation=kernel.representation, zero_registers=x.get("zero"), raw_hll_estimate=x.get("raw"),
-                execution_parameters={"batch_size": batch_size, "pyspark_execution": "distributed_fused_sql", "exact_candidate_limit": config.exact_unique_threshold + 1, "hll_register_aggregation": "spark_sql_groupby_register_max_rho"},
-                lineage=_lineage(item, spark, labels[i], i, dtype, bool(nullable[i]), kernel, pipeline), warnings=(warnings[i],) if warnings[i] else (),
+                execution_parameters={"batch_size": batch_size, "pyspark_execution": "distributed_fused_sql", "exact_state_source": "modelled_from_routing_sketch" if x["modelled"] else "observed", "exact_candidate_limit": config.exact_unique_threshold + 1, "hll_register_aggregation": "spark_sql_groupby_register_max_rho"},
+                lineage=_lineage(item, spark, labels[i], i, dtype, bool(nullable[i]), kernel, bound, pipeline), warnings=(warnings[i],) if warnings[i] else (),
             )))
         return DataFrameCardinalityResult(item.backend.as_dict(), total, tuple(outcomes))
 
@@ -288,8 +293,8 @@ def promotion_position(df: DataFrame, column: str, order_by: list[str], config:
     """
     config = config or AdaptiveCardinalityConfig()
     kernel = Kernel.of(df.schema[column].dataType)
-    order = F.struct(*order_by)
-    rows = df.select(kernel.value(F.col(f"`{column}`")).alias("v"), order.alias("o"))
+    order = F.struct(*[named(x).alias(x) for x in order_by])
+    rows = df.select(kernel.value(named(column)).alias("v"), order.alias("o"))
     firsts = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("o").alias("o"))
     bound = config.exact_memory_budget_bytes / config.memory_safety_factor
     most = min(config.exact_unique_threshold + 1, int(bound // SLOT_BYTES) + 1)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsonde.functions.families import Kernel
+from colsonde.functions.families import Kernel, named
 from colsonde.functions.hashes import HashConfiguration
 from colsonde.sources.schema import whole_number
 
@@ -83,7 +83,7 @@ class Sketch:
     def of(df: DataFrame, column: str, precision: int = DEFAULT, contract: HashConfiguration | None = None) -> Sketch:
         kernel = Kernel.of(df.schema[column].dataType)
         bound = (contract or HashConfiguration()).bind(kernel.kernel_id)
-        value = kernel.value(F.col(f"`{column.replace('`', '``')}`"))
+        value = kernel.value(named(column))
         return Sketch(registers(df, bound.hash(value), precision), checked_precision(precision), bound)
 
     def merge(self, other: Sketch) -> Sketch:
@@ -93,6 +93,13 @@ class Sketch:
             raise ValueError("sketches under different hash contracts cannot be merged")
         return Sketch(merged(self.table.unionByName(other.table)), self.precision, self.contract)
 
+    def absorb(self, df: DataFrame, column: str) -> Sketch:
+        """This sketch with the values of a column added: an exact state, or rows that came since."""
+        return self.merge(Sketch.of(df, column, self.precision, self.contract.unbound()))
+
+    def is_empty(self) -> bool:
+        return self.table.isEmpty()
+
     def estimate(self) -> float:
         return estimated(self.table, self.precision).first().estimate
 
@@ -119,5 +126,21 @@ class Sketch:
         return Sketch(merged(rows.select("register", "rank")), precision, contract)
 
 
+def merge_states(left: DataFrame | Sketch, right: DataFrame | Sketch, column: str, threshold: int, precision: int = DEFAULT, contract: HashConfiguration | None = None) -> DataFrame | Sketch:
+    """The state of the union of two states, each a frame with the values of ``column`` or a sketch.
+
+    Two exact states stay exact, as a frame of distinct values, up to ``threshold`` values;
+    beyond it, and where either side is a sketch, the result is a sketch.
+    """
+    states = sorted((left, right), key=lambda x: isinstance(x, DataFrame))
+    if isinstance(states[0], Sketch):
+        return states[0].absorb(states[1], column) if isinstance(states[1], DataFrame) else states[0].merge(states[1])
+    value = Kernel.of(left.schema[column].dataType).value(named(column)).alias(column)
+    both = left.select(value).unionByName(right.select(value)).where(named(column).isNotNull()).distinct()
+    if both.limit(threshold + 1).count() <= threshold:
+        return both
+    return Sketch.of(both, column, precision, contract)
+
+
 def nunique(df: DataFrame, column: str, precision: int = DEFAULT) -> int:
     return round(Sketch.of(df, column, precision).estimate())

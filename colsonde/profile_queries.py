@@ -158,6 +158,21 @@ def hll_merge_union(spark, sf_dir):
     return early.merge(late).table
 
 
+@_query(_md5_registers("l_partkey", "lineitem", 12))
+def hll_merge_exact_and_sketch(spark, sf_dir):
+    df = _read(spark, sf_dir, "lineitem")
+    sketch = registers.Sketch.of(df.where("l_linenumber <= 3"), "l_partkey", 12, portable())
+    exact = df.where("l_linenumber >= 3").select("l_partkey").distinct()
+    return registers.merge_states(exact, sketch, "l_partkey", 50_000).table
+
+
+@_query("SELECT DISTINCT l_suppkey FROM lineitem")
+def exact_states_merged(spark, sf_dir):
+    df = _read(spark, sf_dir, "lineitem")
+    early, late = (df.where(c).select("l_suppkey") for c in ("l_linenumber <= 3", "l_linenumber >= 3"))
+    return registers.merge_states(early, late, "l_suppkey", 50_000)
+
+
 @_query(_md5_estimate(_md5_registers("user_id", "events", 12, "date_trunc('week', ts)::DATE AS week,"), 12, "week,"))
 def hll_rollup_events_daily(spark, sf_dir):
     df = _read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsonde.functions.families import Kernel
+from colsonde.functions.families import Kernel, named
 from colsonde.functions.hashes import HashConfiguration
 from colsonde.operators.registers import DEFAULT, checked_precision, rank_of, register_of
 
@@ -18,6 +18,6 @@ def windowed_registers(stream: DataFrame, column: str, time: str, window: str, l
     """
     p = checked_precision(p)
     kernel = Kernel.of(stream.schema[column].dataType)
-    h = (contract or HashConfiguration()).bind(kernel.kernel_id).hash(kernel.value(F.col(column)))
-    rows = stream.withWatermark(time, lateness).select(F.col(time), h.alias("__hash")).where("__hash IS NOT NULL")
-    return rows.groupBy(F.window(time, window), register_of(F.col("__hash"), p).alias("register")).agg(F.max(rank_of(F.col("__hash"), p)).alias("rank"))
+    h = (contract or HashConfiguration()).bind(kernel.kernel_id).hash(kernel.value(named(column)))
+    rows = stream.withWatermark(time, lateness).select(named(time).alias("__time"), h.alias("__hash")).where("__hash IS NOT NULL")
+    return rows.groupBy(F.window("__time", window).alias("window"), register_of(F.col("__hash"), p).alias("register")).agg(F.max(rank_of(F.col("__hash"), p)).alias("rank"))

@@ -239,3 +239,44 @@ def test_streaming_sketch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert round(R.estimated(spark.table("sketches"), 10, ["window"]).first().estimate) == 7
+
+
+def test_reports_bind_the_contract_and_state_what_ran(spark):
+    df = spark.range(3000).select("id", F.col("id").cast("string").alias("a.b`c"))
+    report = C.profile_cardinality(df, config=CONFIG(exact_unique_threshold=100, hash_configuration=C.portable()))
+    for c in report.columns:
+        found = c.result.config.hash_configuration
+        assert found.kernel_id == C.Kernel.of(df.schema[c.position].dataType).kernel_id and found.runtime_id == "pyspark"
+        assert c.result.config.hash_configuration == R.Sketch.of(df, c.column, 14, C.portable()).contract
+        assert c.result.lineage["hash_execution"] == "md5_expression_distributed"
+        assert c.result.execution_parameters["exact_state_source"] == "modelled_from_routing_sketch"
+        assert c.result.lineage["adaptive_strategy"] == "routed_by_sketch_then_exact_or_hll"
+    only = C.profile_cardinality(df, "id", config=CONFIG(policy="hll_only"))
+    assert only.lineage["adaptive_strategy"] == "hll_only" and only.lineage["hash_execution"] == "xxhash64_expression_distributed" and not only.is_exact
+    assert C.profile_cardinality(df, "id").execution_parameters["exact_state_source"] == "observed"
+    assert C.promotion_position(df, "a.b`c", ["a.b`c"], CONFIG(exact_unique_threshold=2)).first().unique_count == 3
+
+
+def test_identifiers_of_contracts():
+    for name in ("algorithm_id", "engine_id", "canonicalisation_version"):
+        with pytest.raises(ValueError):
+            C.HashConfiguration(**{name: " "})
+        with pytest.raises(TypeError):
+            C.HashConfiguration(**{name: None})
+    with pytest.raises(ValueError):
+        C.HashConfiguration(kernel_id="", runtime_id="r", runtime_version="1")
+    bound = C.HashConfiguration(seed=3).bind("k")
+    assert bound.unbound() == C.HashConfiguration(seed=3)
+
+
+def test_states_of_either_kind_merge(spark):
+    a, b = spark.range(60), spark.range(40, 120)
+    rows = lambda s: sorted(map(tuple, s.table.collect()))
+    whole = R.Sketch.of(spark.range(120), "id", 12)
+    exact = R.merge_states(a, b, "id", 120)
+    assert sorted(r.id for r in exact.collect()) == list(range(120))
+    assert rows(R.merge_states(a, b, "id", 119, 12)) == rows(whole)
+    sketch = R.Sketch.of(a, "id", 12)
+    for left, right in ((sketch, b), (b, sketch), (sketch, R.Sketch.of(b, "id", 12))):
+        assert rows(R.merge_states(left, right, "id", 10)) == rows(whole)
+    assert R.Sketch.of(spark.range(0), "id").is_empty() and not sketch.is_empty()
