@@ -119,12 +119,14 @@ def one_column(table: pa.Table, name: str) -> pa.Array:
 
 def distinct(keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """Sorted distinct (key, check) pairs and how often each occurs."""
-    order = np.argsort(keys) if checks is None else np.lexsort((checks, keys))
-    keys = keys[order]
+    if checks is None:
+        keys = np.sort(keys)
+    else:
+        order = np.lexsort((checks, keys))
+        keys, checks = keys[order], checks[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     if checks is not None:
-        checks = checks[order]
         new[1:] |= checks[1:] != checks[:-1]
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(keys)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,21 +26,26 @@ CELLS = 4 << 20
 _PREFIX = "doc_id {kind}, n bigint, node binary, matches int, tokens array<bigint>, file bigint, at bigint"
 
 
-def _sets(texts: pa.Array, n: int, lanes: int = 1) -> tuple[np.ndarray, ...]:
-    """(sorted distinct shingle hashes of each text in turn, their other lanes, offsets of the texts), by slabs of texts."""
+def _slabs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches (from, to) of texts that are hashed in one go: a slab, or one longer text."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64) + 1)
-    found, sizes, at = [[np.zeros(0, np.uint64)] for _ in range(lanes)], [np.zeros(1, np.int64)], 0
+    at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB, "right")))
-        *grams, offsets = _slab_sets(texts.slice(at, to - at), n, lanes)
-        for lane, x in zip(found, grams, strict=True):
-            lane.append(x)
-        sizes.append(np.diff(offsets))
+        yield at, to
         at = to
-    return *(np.concatenate(x) for x in found), np.cumsum(np.concatenate(sizes))
+
+
+def _sets(texts: pa.Array, n: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of each text in turn, made by slabs of texts."""
+    found = [np.zeros(0, np.uint64)]
+    for at, to in _slabs(texts):
+        found.append(_slab_sets(texts.slice(at, to - at), n, 1)[0])
+    return np.concatenate(found)
 
 
 def _slab_sets(texts: pa.Array, n: int, lanes: int) -> tuple[np.ndarray, ...]:
+    """(sorted distinct shingle hashes of each text in turn, their other lanes, offsets of the texts)."""
     *hashes, offsets = word_hashes(texts, fold=True, lanes=lanes)
     counts = np.diff(offsets)
     owner = np.repeat(np.arange(len(counts)), np.maximum(counts - n + 1, 0))
@@ -281,42 +288,44 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def tokens(_, rows, __):
-        return _sets(blocks.one_column(rows, "text"), n)[0], None
+        return _sets(blocks.one_column(rows, "text"), n), None
 
     counted = blocks.post(source.drop("doc_id"), tokens, bits, stretch, True, True, "join-counts")
 
     def prefixes(batches):
         for block, rows in blocks.runs(batches, stretch):
             keys, _, counts = blocks.receive(counted, block, bits, short=True)
-            grams, other, offsets = _sets(blocks.one_column(rows, "text"), n, lanes=2)
-            names = _nodes([grams, other], offsets)
-            short = blocks.short_key(grams, bits)
-            df = np.ones(len(grams), np.int64)
-            if len(keys):
-                at = np.searchsorted(keys, short)
-                at[at == len(keys)] = 0
-                hit = keys[at] == short
-                df[hit] = counts[at[hit]]
-            out: dict[str, list] = {"n": [], "node": [], "matches": [], "tokens": []}
-            for i in range(rows.num_rows):
-                s, d = grams[offsets[i] : offsets[i + 1]], df[offsets[i] : offsets[i + 1]]
-                out["n"].append(len(s))
-                if not len(s):
-                    out["node"].append(None)
-                    out["matches"].append(0)
-                    out["tokens"].append([])
-                    continue
-                out["node"].append(names[i])
-                order = np.lexsort((s, d))
-                length, matches = prefix(d[order], -(-per_cent * len(s) // 100))
-                picked = order[:length]
-                out["matches"].append(matches)
-                out["tokens"].append(s[picked[d[picked] > 1]].view(np.int64))
-            size = rows.num_rows
-            yield from pa.table([
-                rows.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["node"], pa.binary()), pa.array(out["matches"], pa.int32()),
-                pa.array(out["tokens"], pa.list_(pa.int64())), pa.array([block.file] * size, pa.int64()), pa.array(range(block.low, block.high + 1), pa.int64()),
-            ], names=["doc_id", "n", "node", "matches", "tokens", "file", "at"]).to_batches()
+            texts = blocks.one_column(rows, "text")
+            # By slabs: only the answers are held for the whole block, not its sets.
+            for lo, hi in _slabs(texts):
+                grams, other, offsets = _slab_sets(texts.slice(lo, hi - lo), n, 2)
+                names = _nodes([grams, other], offsets)
+                short = blocks.short_key(grams, bits)
+                df = np.ones(len(grams), np.int64)
+                if len(keys):
+                    at = np.searchsorted(keys, short)
+                    at[at == len(keys)] = 0
+                    hit = keys[at] == short
+                    df[hit] = counts[at[hit]]
+                out: dict[str, list] = {"n": [], "node": [], "matches": [], "tokens": []}
+                for i in range(hi - lo):
+                    s, d = grams[offsets[i] : offsets[i + 1]], df[offsets[i] : offsets[i + 1]]
+                    out["n"].append(len(s))
+                    if not len(s):
+                        out["node"].append(None)
+                        out["matches"].append(0)
+                        out["tokens"].append([])
+                        continue
+                    out["node"].append(names[i])
+                    order = np.lexsort((s, d))
+                    length, matches = prefix(d[order], -(-per_cent * len(s) // 100))
+                    picked = order[:length]
+                    out["matches"].append(matches)
+                    out["tokens"].append(s[picked[d[picked] > 1]].view(np.int64))
+                yield from pa.table([
+                    rows.column("doc_id").slice(lo, hi - lo), pa.array(out["n"], pa.int64()), pa.array(out["node"], pa.binary()), pa.array(out["matches"], pa.int32()),
+                    pa.array(out["tokens"], pa.list_(pa.int64())), pa.array([block.file] * (hi - lo), pa.int64()), pa.array(range(block.low + lo, block.low + hi), pa.int64()),
+                ], names=["doc_id", "n", "node", "matches", "tokens", "file", "at"]).to_batches()
 
     rows = common.settle(source.mapInArrow(common.tidy(prefixes), _PREFIX.format(kind=kind)), "join-prefixes")
     common.discard(counted)
@@ -336,10 +345,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, per_cent: int = 80, key: str =
             if not found:
                 continue
             at = sorted(found)
-            grams, offsets = _sets(blocks.one_column(rows.take(pa.array(at, pa.int64())), "text"), n)
-            for lo in range(0, len(at), 256):
-                some = range(lo, min(lo + 256, len(at)))
-                yield pa.RecordBatch.from_arrays([pa.array([found[at[i]] for i in some], pa.binary()), pa.array([grams[offsets[i] : offsets[i + 1]].tobytes() for i in some], pa.binary())], names=["node", "tokens"])
+            texts = blocks.one_column(rows.take(pa.array(at, pa.int64())), "text")
+            for lo, hi in _slabs(texts):
+                grams, offsets = _slab_sets(texts.slice(lo, hi - lo), n, 1)
+                for first in range(lo, hi, 256):
+                    some = range(first, min(first + 256, hi))
+                    yield pa.RecordBatch.from_arrays([pa.array([found[at[i]] for i in some], pa.binary()), pa.array([grams[offsets[i - lo] : offsets[i - lo + 1]].tobytes() for i in some], pa.binary())], names=["node", "tokens"])
 
     sets = common.settle(source.drop("doc_id").mapInArrow(common.tidy(fetch), "node binary, tokens binary"), "join-sets")
     links = common.settle(_compare(sets, wanted.select("node", "component", "n"), per_cent), "join-links")
