@@ -47,14 +47,17 @@ def _clean(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A").replace("\0", "%00")
 
 
+def _record_id(page_id: str | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>"
+
+
 def record_bytes(row: dict, date: str) -> bytes:
-    """One record: a response with its payload, or a revisit without one."""
+    """One record: a response with its payload, or a revisit without one, which names the response."""
     payload = row["payload"] or b""
     response = row["record_type"] != "revisit"
     block = _HTTP + (payload if response else b"")
     lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Date: {date}"]
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{row['page_id']} {row['url']} {row['payload_digest']}")
-    lines.append(f"WARC-Record-ID: <urn:uuid:{name}>")
+    lines.append(f"WARC-Record-ID: {_record_id(row['page_id'], row['url'], row['payload_digest'])}")
     if row["url"] is not None:
         lines.append(f"WARC-Target-URI: {_clean(row['url'])}")
     lines.append(f"WARC-Payload-Digest: sha256:{row['payload_digest']}")
@@ -63,6 +66,9 @@ def record_bytes(row: dict, date: str) -> bytes:
         lines.append(f"X-Page-ID: {_clean(row['page_id'])}")
     if not response:
         lines.append(f"WARC-Profile: {_REVISIT}")
+        lines.append(f"WARC-Refers-To: {_record_id(row['refers_to'], row['refers_url'], row['payload_digest'])}")
+        if row["refers_url"] is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {_clean(row['refers_url'])}")
         lines.append(f"X-Refers-To-Page: {_clean(row['refers_to'])}")
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
@@ -109,9 +115,13 @@ class FilePartition(InputPartition):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of its own under names that only a commit makes final."""
+    """Each task writes files of its own under names that only a commit makes final.
+
+    Names start with the job's, so its end removes what lost attempts of its tasks left behind.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
+        self.job = uuid.uuid4().hex
         self.path, self.overwrite = options["path"], overwrite
         self.date = options.get("date", "1970-01-01T00:00:00Z")
         self.gzip = options.get("compression", "none") == "gzip"
@@ -125,7 +135,7 @@ class WarcWriter(DataSourceArrowWriter):
                 columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
                 for i in range(batch.num_rows):
                     if out is None:
-                        name = f"{uuid.uuid4().hex}.warc" + ".gz" * self.gzip
+                        name = f"{self.job}-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip
                         out, size = files.open_output_stream(f"{root}/_{name}", compression=None), 0
                         names.append(name)
                     record = record_bytes({n: c[i].as_py() for n, c in columns.items()}, self.date)
@@ -150,13 +160,17 @@ class WarcWriter(DataSourceArrowWriter):
         for m in messages:
             for name in m.names if m else []:
                 files.move(f"{root}/_{name}", f"{root}/{name}")
+        self._sweep(files, root)
 
     def abort(self, messages) -> None:
-        files, root = common.open_fs(self.path)
-        for m in messages:
-            for name in m.names if m else []:
-                if files.get_file_info(f"{root}/_{name}").type.name == "File":
-                    files.delete_file(f"{root}/_{name}")
+        self._sweep(*common.open_fs(self.path))
+
+    def _sweep(self, files, root: str) -> None:
+        from pyarrow import fs
+
+        for x in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if x.is_file and x.base_name.startswith(f"_{self.job}-"):
+                files.delete_file(x.path)
 
 
 def _listed(files, root: str) -> list:
@@ -289,7 +303,8 @@ class WarcDataSource(DataSource):
     Reading options: path; payload = bytes (default), digest (measured, not returned) or none
     (payloads are skipped). Predicates of equality on header columns are pushed down.
     Writing takes rows of (page_id, url, payload, payload_digest, payload_length, record_type,
-    refers_to), page_id and refers_to as strings; options: path, date, compression = none or gzip.
+    refers_to, refers_url), page_id and refers_to as strings; options: path, date, compression =
+    none or gzip.
     """
 
     @classmethod
@@ -318,24 +333,25 @@ def plan_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     Of payloads of ``min_bytes`` or more that are equal, the smallest page_id is the response;
     all rows of that page_id if it repeats. A null html is an empty payload. A null page_id is
     above all others; if equal payloads have null ids only, all are responses.
+
+    Groups are found from identifiers and digests alone, and revisits are joined to the payloads
+    by page: where the list of revisits is too large to broadcast, payloads are spread by page_id,
+    so a payload that very many pages share does not meet in one task.
     """
     rows = pages.select(
         F.col("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload")
     )
     rows = rows.withColumn("payload_length", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", F.sha2("payload", 256))
-    groups = (
-        rows.where(F.col("payload_length") >= min_bytes)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where((F.col("n") > 1) & F.col("first").isNotNull())
-        .drop("n")
-    )
-    joined = rows.join(common.settle(groups, "warc-groups"), "payload_digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    marks = common.settle(rows.where(F.col("payload_length") >= min_bytes).select("page_id", "url", "payload_digest"), "warc-marks")
+    groups = marks.groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = groups.where((F.col("n") > 1) & F.col("first").isNotNull())
+    again = marks.join(groups.drop("n"), "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    again = again.groupBy(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest")).agg(F.first("first").alias("first"))
+    joined = rows.join(common.settle(again, "warc-revisits"), F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
     return joined.select(
         F.col("page_id").cast("string").alias("page_id"), "url", "payload", "payload_digest", "payload_length",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("first").cast("string")).alias("refers_to"),
+        F.when(F.col("first").isNotNull(), "revisit").otherwise("response").alias("record_type"),
+        F.col("first.page_id").cast("string").alias("refers_to"), F.col("first.url").alias("refers_url"),
     )
 
 

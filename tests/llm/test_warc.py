@@ -43,6 +43,39 @@ def test_round_trip_and_pushdown(spark, pages, compression):
     assert {r.payload for r in spark.read.format("warc").option("payload", "none").load(path).collect()} == {None}
 
 
+def test_revisits_name_the_record_of_the_response(spark, pages):
+    path = common.scratch(spark, "test-warc")
+    warc.archive(pages, path)
+    files, root = common.open_fs(path)
+    by_page, found = {}, []
+    for x in warc._listed(files, root):
+        with files.open_input_file(x.path) as raw:
+            reader = warc._Lines(raw)
+            while (headers := warc.read_headers(reader)) is not None:
+                warc._skip(reader, int(headers["content-length"]), True)
+                by_page.setdefault(headers.get("x-page-id"), headers)
+                found.append(headers)
+    revisits = [h for h in found if h["warc-type"] == "revisit"]
+    assert len(revisits) == 5
+    for h in revisits:
+        first = by_page[h["x-refers-to-page"]]
+        assert h["warc-refers-to"] == first["warc-record-id"] and h["warc-refers-to-target-uri"] == first["warc-target-uri"]
+
+
+def test_files_of_lost_attempts_are_removed(tmp_path):
+    writer = warc.WarcWriter({"path": str(tmp_path)}, False)
+    row = {"page_id": "1", "url": None, "payload": b"x", "payload_digest": "d", "payload_length": 1, "record_type": "response", "refers_to": None, "refers_url": None}
+    batch = warc.pa.RecordBatch.from_pylist([row])
+    kept, _lost = writer.write(iter([batch])), writer.write(iter([batch]))
+    (tmp_path / "_other-1.warc").write_bytes(b"")
+    writer.commit([kept, None])
+    assert sorted(x.name for x in tmp_path.iterdir()) == sorted(["_other-1.warc", *kept.names])
+    aborted = warc.WarcWriter({"path": str(tmp_path)}, False)
+    aborted.write(iter([batch]))
+    aborted.abort([])
+    assert len(list(tmp_path.iterdir())) == 2
+
+
 def test_rejected_payloads_are_not_read():
     reader = warc.WarcReader({"path": "x"})
     left = list(reader.pushFilters([warc.EqualTo(("record_type",), "response"), warc.EqualTo(("payload_length",), 3)]))
