@@ -86,5 +86,5 @@ class Kernel:
 
 
 def tagged(family: DtypeFamily, value: Column) -> Column:
-    """A tagged value for columns that mix types: equal only if type and value are equal."""
-    return F.struct(F.lit(family.value).alias("tag"), F.to_binary(value.cast("string"), F.lit("utf-8")).alias("payload"))
+    """Bytes of a value for columns that mix types: equal only if type and text are equal, null for null."""
+    return F.concat(F.lit(f"{family.value}:"), value.cast("string")).cast("binary")

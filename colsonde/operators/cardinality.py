@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 from colsonde import errors
 from colsonde import vocabulary as V
 from colsonde.functions.families import SLOT_BYTES, Kernel, named
-from colsonde.operators.registers import estimated, rank_of, register_of
+from colsonde.functions.hashes import HashConfiguration
+from colsonde.operators.registers import estimated, registers
 from colsonde.plans.report import AdaptiveCardinalityConfig, AdaptiveCardinalityResult, ColumnCardinalityOutcome, DataFrameCardinalityResult, PromotionMetadata
 from colsonde.sources.intake import DEFAULT_BACKEND_REGISTRY, BackendRegistry, DataFrameInput, resolve_dataframe_input, to_spark
 from colsonde.sources.schema import whole_number
@@ -40,9 +41,15 @@ def state_bytes(raw: float, factor: float) -> int:
 
 
 def _projected(df: DataFrame, kernels: dict[int, Kernel], config: AdaptiveCardinalityConfig) -> DataFrame:
-    """Values v<k> and hashes h<k> of the columns c<k>, once, before any aggregate reads them."""
+    """Values v<k> and hashes of the columns c<k>, once, before any aggregate reads them.
+
+    h<k> follow the contract and make the sketches that are reported; r<k> only route, so they
+    are always the cheapest hash. Each job reads one kind and the other is pruned.
+    """
     values = df.select(*[k.value(F.col(f"c{i}")).alias(f"v{i}") for i, k in kernels.items()])
-    return values.select("*", *[config.hash_configuration.hash(F.col(f"v{i}")).alias(f"h{i}") for i in kernels])
+    routing = HashConfiguration()
+    hashes = [(f"{name}{i}", contract.hash(F.col(f"v{i}"))) for i in kernels for name, contract in (("r", routing), ("h", config.hash_configuration))]
+    return values.select("*", *[h.alias(name) for name, h in hashes])
 
 
 def _route(rows: DataFrame, kernels: dict[int, Kernel]) -> dict:
@@ -51,7 +58,7 @@ def _route(rows: DataFrame, kernels: dict[int, Kernel]) -> dict:
     for i, k in kernels.items():
         aggs += [
             F.count(f"v{i}").alias(f"n{i}"),
-            F.hll_sketch_estimate(F.hll_sketch_agg(f"h{i}", F.lit(ROUTE_PRECISION))).alias(f"e{i}"),
+            F.hll_sketch_estimate(F.hll_sketch_agg(f"r{i}", F.lit(ROUTE_PRECISION))).alias(f"e{i}"),
             F.sum(k.size(F.col(f"v{i}"))).alias(f"b{i}"),
         ]
     return rows.agg(*aggs).first().asDict()
@@ -104,8 +111,8 @@ def _sketched(rows: DataFrame, columns: Iterable[int], p: int) -> dict[int, tupl
     if not columns:
         return {}
     hashes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"h{i}").alias("h")) for i in columns]))
-    pairs = rows.select(hashes.alias("p")).where("p.h IS NOT NULL")
-    table = pairs.select("p.i", register_of(F.col("p.h"), p).alias("register"), rank_of(F.col("p.h"), p).alias("rank")).groupBy("i", "register").agg(F.max("rank").alias("rank"))
+    pairs = rows.select(hashes.alias("p"))
+    table = registers(pairs, F.col("p.h"), p, [F.col("p.i").alias("i")])
     got = {r.i: (r.zero_registers, r.estimate) for r in estimated(table, p, ["i"]).collect()}
     return {i: got.get(i, (1 << p, 0.0)) for i in columns}
 
@@ -177,7 +184,9 @@ class SparkCardinalityAdapter:
     def __init__(self, backend: V.BackendName):
         self.backend = backend
 
-    def profile_all(self, item: DataFrameInput, *, config: AdaptiveCardinalityConfig, batch_size: int | None, only: int | None = None, pipeline: dict | None = None) -> DataFrameCardinalityResult:
+    def profile_all(self, item: DataFrameInput, *, config: AdaptiveCardinalityConfig, batch_size: int | None, only: int | None = None, pipeline: dict | None = None, order_by: list | None = None) -> DataFrameCardinalityResult:
+        """``order_by``: columns that order the rows; only then do promoted columns report where they were promoted."""
+        order = [f"c{_position(item, x)}" for x in order_by or []]
         df, labels, warnings = to_spark(item)
         spark = df.sparkSession
         if df.isStreaming:
@@ -200,18 +209,22 @@ class SparkCardinalityAdapter:
             exact = "raw" not in x
             # The contract of this column's hashes, so that stored sketches can be matched with the report.
             bound = replace(config, hash_configuration=config.hash_configuration.bind(kernel.kernel_id))
+            promotion = PromotionMetadata(False) if exact else PromotionMetadata(True, x["reason"], None, None, x["unique"], x["bytes"])
+            crossing = promotion_position(df, f"c{i}", order, config).first() if order and not exact else None
+            if crossing is not None:
+                promotion = PromotionMetadata(True, V.PromotionReason(crossing.reason), crossing.row_position, crossing.non_null_position, crossing.unique_count, crossing.state_bytes)
             outcomes.append(ColumnCardinalityOutcome(labels[i], i, AdaptiveCardinalityResult(
                 distinct_count=x["distinct"], final_mode=V.CardinalityMode.EXACT if exact else V.CardinalityMode.HLL, total_row_count=total, non_null_count=x["non_null"], config=bound,
-                promotion=PromotionMetadata(False) if exact else PromotionMetadata(True, x["reason"], None, None, x["unique"], x["bytes"]),
+                promotion=promotion,
                 unique_seen=x["unique"], state_bytes=x["bytes"], representation=kernel.representation, zero_registers=x.get("zero"), raw_hll_estimate=x.get("raw"),
                 execution_parameters={"batch_size": batch_size, "pyspark_execution": "distributed_fused_sql", "exact_state_source": "modelled_from_routing_sketch" if x["modelled"] else "observed", "exact_candidate_limit": config.exact_unique_threshold + 1, "hll_register_aggregation": "spark_sql_groupby_register_max_rho"},
                 lineage=_lineage(item, spark, labels[i], i, dtype, bool(nullable[i]), kernel, bound, pipeline), warnings=(warnings[i],) if warnings[i] else (),
             )))
         return DataFrameCardinalityResult(item.backend.as_dict(), total, tuple(outcomes))
 
-    def profile(self, item: DataFrameInput, column: object, *, config: AdaptiveCardinalityConfig, batch_size: int | None) -> AdaptiveCardinalityResult:
+    def profile(self, item: DataFrameInput, column: object, *, config: AdaptiveCardinalityConfig, batch_size: int | None, order_by: list | None = None) -> AdaptiveCardinalityResult:
         at = _position(item, column)
-        return self.profile_all(item, config=config, batch_size=batch_size, only=at).columns[0].result
+        return self.profile_all(item, config=config, batch_size=batch_size, only=at, order_by=order_by).columns[0].result
 
 
 def _position(item: DataFrameInput, column: object) -> int:
@@ -246,13 +259,13 @@ class CardinalityRegistry:
     def with_adapter(self, adapter: CardinalityBackendAdapter) -> CardinalityRegistry:
         return CardinalityRegistry((*self.adapters, adapter))
 
-    def run(self, item: DataFrameInput, column: object, *, config: AdaptiveCardinalityConfig, batch_size: int | None):
+    def run(self, item: DataFrameInput, column: object, *, config: AdaptiveCardinalityConfig, batch_size: int | None, **more):
         for a in self.adapters:
             if a.backend == item.backend.name:
                 try:
                     if column is ALL:
-                        return a.profile_all(item, config=config, batch_size=batch_size)
-                    return a.profile(item, column, config=config, batch_size=batch_size)
+                        return a.profile_all(item, config=config, batch_size=batch_size, **more)
+                    return a.profile(item, column, config=config, batch_size=batch_size, **more)
                 except (KeyError, TypeError, ValueError, errors.CardinalityError):
                     raise
                 except Exception as cause:
@@ -263,21 +276,26 @@ class CardinalityRegistry:
 DEFAULT_CARDINALITY_REGISTRY = CardinalityRegistry([SparkCardinalityAdapter(b) for b in V.BackendName])
 
 
-def profile_cardinality_from_input(item: DataFrameInput, column: object = ALL, *, config: AdaptiveCardinalityConfig | None = None, batch_size: int | None = None, registry: CardinalityRegistry = DEFAULT_CARDINALITY_REGISTRY):
+def profile_cardinality_from_input(item: DataFrameInput, column: object = ALL, *, config: AdaptiveCardinalityConfig | None = None, batch_size: int | None = None, registry: CardinalityRegistry = DEFAULT_CARDINALITY_REGISTRY, order_by: list | None = None):
     if not isinstance(item, DataFrameInput):
         raise TypeError("a DataFrameInput is needed")
     if batch_size is not None:
         whole_number("batch_size", batch_size, 1)
-    return registry.run(item, column, config=config or AdaptiveCardinalityConfig(), batch_size=batch_size)
+    more = {} if order_by is None else {"order_by": order_by}
+    return registry.run(item, column, config=config or AdaptiveCardinalityConfig(), batch_size=batch_size, **more)
 
 
 def profile_cardinality(
     dataframe: object, column: object = ALL, *, config: AdaptiveCardinalityConfig | None = None, batch_size: int | None = None,
-    backend_registry: BackendRegistry = DEFAULT_BACKEND_REGISTRY, cardinality_registry: CardinalityRegistry = DEFAULT_CARDINALITY_REGISTRY,
+    backend_registry: BackendRegistry = DEFAULT_BACKEND_REGISTRY, cardinality_registry: CardinalityRegistry = DEFAULT_CARDINALITY_REGISTRY, order_by: list | None = None,
 ):
-    """The distinct count of one column, or of all if none is named (None is a legal label)."""
+    """The distinct count of one column, or of all if none is named (None is a legal label).
+
+    With ``order_by``, columns of the frame, reports hold the positions of promotions in that
+    order, which takes one more query a promoted column.
+    """
     item = resolve_dataframe_input(dataframe, registry=backend_registry)
-    return profile_cardinality_from_input(item, column, config=config, batch_size=batch_size, registry=cardinality_registry)
+    return profile_cardinality_from_input(item, column, config=config, batch_size=batch_size, registry=cardinality_registry, order_by=order_by)
 
 
 def profile_cardinality_json(dataframe: object, column: object = ALL, *, indent: int | None = 2, **more) -> str:

@@ -36,19 +36,31 @@ def register_of(h: Column, p: int) -> Column:
     return F.shiftrightunsigned(h, 64 - p).cast("int")
 
 
+def rest_of(h: Column, p: int) -> Column:
+    """The other bits."""
+    return h.bitwiseAND(F.lit((1 << (64 - p)) - 1))
+
+
+def rank_of_rest(rest: Column, p: int) -> Column:
+    return F.when(rest == 0, 65 - p).otherwise(65 - p - F.length(F.bin(rest))).cast("int")
+
+
 def rank_of(h: Column, p: int) -> Column:
     """Leading zeros of the other bits, and one."""
-    rest = h.bitwiseAND(F.lit((1 << (64 - p)) - 1))
-    return F.when(rest == 0, 65 - p).otherwise(65 - p - F.length(F.bin(rest))).cast("int")
+    return rank_of_rest(rest_of(h, p), p)
 
 
 def registers(df: DataFrame, h: Column, p: int = DEFAULT, by: list | None = None) -> DataFrame:
-    """(by..., register, rank) of hash column ``h``: at most 2**p rows a group, aggregated before the shuffle."""
+    """(by..., register, rank) of hash column ``h``: at most 2**p rows a group, aggregated before the shuffle.
+
+    The greatest rank is that of the least rest, so ranks are worked out once a register, not once a row.
+    """
     p = checked_precision(p)
     keys = [F.col(x) if isinstance(x, str) else x for x in by or []]
     hashed = df.select(*keys, h.alias("__hash")).where("__hash IS NOT NULL")
     names = hashed.columns[:-1]
-    return hashed.select(*names, register_of(F.col("__hash"), p).alias("register"), rank_of(F.col("__hash"), p).alias("rank")).groupBy(*names, "register").agg(F.max("rank").alias("rank"))
+    least = hashed.select(*names, register_of(F.col("__hash"), p).alias("register"), rest_of(F.col("__hash"), p).alias("__rest")).groupBy(*names, "register").agg(F.min("__rest").alias("__rest"))
+    return least.select(*names, "register", rank_of_rest(F.col("__rest"), p).alias("rank"))
 
 
 def merged(table: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsonde.functions.families import family_of
+from colsonde.functions.families import family_of, tagged
 from colsonde.functions.hashes import portable
 from colsonde.operators import cardinality, registers
 from colsonde.plans.report import AdaptiveCardinalityConfig
 from colsonde.sources.schema import discover_physical_schema
-from colsonde.vocabulary import RowCountMode
+from colsonde.streaming.sketches import windowed_registers
+from colsonde.vocabulary import DtypeFamily, RowCountMode
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -239,3 +243,157 @@ def profile_report_summary(spark, sf_dir):
         r = cardinality.profile_cardinality(_read(spark, sf_dir, t))
         rows.append((t, r.column_count, r.successful_column_count, r.unsupported_column_count, len(r.warnings)))
     return spark.createDataFrame(rows, "table_name string, column_count bigint, successful bigint, unsupported bigint, warnings bigint")
+
+
+def _hll_only(columns) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", 'hll' AS mode, round_even(estimate, 0)::BIGINT AS distinct_count FROM ({_md5_estimate(_md5_registers(c, "orders", 12), 12)})""" for c in columns
+    )
+
+
+@_query(_hll_only(ORDERS))
+def hll_only_profile_orders(spark, sf_dir):
+    config = AdaptiveCardinalityConfig(policy="hll_only", hll_precision=12, hash_configuration=portable())
+    return cardinality.profile_cardinality(_read(spark, sf_dir, "orders").select(*ORDERS), config=config).as_frame(spark).select("column", "mode", "distinct_count")
+
+
+@_query("""SELECT 'o_custkey' AS "column", count(*)::BIGINT AS row_count, count(DISTINCT o_custkey)::BIGINT AS distinct_count FROM orders""")
+def profile_one_column_orders(spark, sf_dir):
+    result = cardinality.profile_cardinality(_read(spark, sf_dir, "orders"), "o_custkey", config=AdaptiveCardinalityConfig(policy="exact_only"))
+    return spark.createDataFrame([("o_custkey", result.total_row_count, result.distinct_count)], "column string, row_count bigint, distinct_count bigint")
+
+
+@_query(_md5_registers("'7:' || o_custkey", "orders", 10).replace("WHERE '7:' || o_custkey IS", "WHERE o_custkey IS"))
+def hll_registers_seeded(spark, sf_dir):
+    return registers.Sketch.of(_read(spark, sf_dir, "orders"), "o_custkey", 10, portable(seed=7)).table
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder of the shared one that the session names; of this machine if it names none, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("stored sketches need spark.checkpoint.dir on a cluster")
+    return f"{root}/colsonde-sketches-{uuid.uuid4().hex}" if root else f"file://{tempfile.mkdtemp(prefix='colsonde-')}/sketches"
+
+
+@_query(_md5_estimate(_md5_registers("o_custkey", "orders", 12), 12))
+def hll_stored_sketches(spark, sf_dir):
+    df, path = _read(spark, sf_dir, "orders"), _folder(spark)
+    for part in ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1"):
+        registers.Sketch.of(df.where(part), "o_custkey", 12, portable()).write(path, "o_custkey")
+    stored = registers.Sketch.read(spark, path, "o_custkey")
+    return registers.estimated(stored.table, 12).select("zero_registers", "branch", F.round("estimate", 6).alias("estimate"))
+
+
+@_query(f"""SELECT (1024 - count(*))::BIGINT AS zero_registers, 'linear' AS branch, round(1024 * ln(1024.0::DOUBLE / (1024 - count(*))), 6) AS estimate
+FROM ({_md5_registers("o_custkey", "orders", 10, where="o_orderkey < 0")})""")
+def hll_empty_sketch(spark, sf_dir):
+    return _estimate(_read(spark, sf_dir, "orders").where("o_orderkey < 0"), "o_custkey", 10)
+
+
+@_query(_md5_registers("ts", "events", 8).replace("md5(ts::VARCHAR)", "md5(user_id::VARCHAR)").replace("SELECT  (h", "SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS week, (h").replace("WHERE ts IS", "WHERE user_id IS"))
+def hll_windowed_registers(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    table = windowed_registers(events, "user_id", "ts", "7 days", "1 day", 8, portable())
+    return table.select(F.col("window.start").alias("week"), "register", "rank")
+
+
+_BOUNDS = registers.relative_standard_error(14) * 1.96
+
+
+@_query(f"""SELECT "column", mode, round(distinct_count * CASE WHEN mode = 'hll' THEN 1 - {_BOUNDS!r}::DOUBLE ELSE 1 END, 4)::DOUBLE AS lower_bound,
+round(distinct_count * CASE WHEN mode = 'hll' THEN 1 + {_BOUNDS!r}::DOUBLE ELSE 1 END, 4)::DOUBLE AS upper_bound FROM ({_adaptive("orders", ORDERS, 100)})""")
+def cardinality_bounds_orders(spark, sf_dir):
+    config = AdaptiveCardinalityConfig(exact_unique_threshold=100, hash_configuration=portable())
+    report = cardinality.profile_cardinality(_read(spark, sf_dir, "orders").select(*ORDERS), config=config)
+    rows = [(c.column, c.result.final_mode.value, *(round(x, 4) for x in c.result.bounds())) for c in report.columns]
+    return spark.createDataFrame(rows, "column string, mode string, lower_bound double, upper_bound double")
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c})::BIGINT AS exact_count, true AS within FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate")))
+def hll_default_contract_bounds(spark, sf_dir):
+    """The default contract's hashes are Spark's own, so estimates are held against exact counts, within 5 standard errors."""
+    df = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate")
+    sketched, exact = (cardinality.profile_cardinality(df, config=AdaptiveCardinalityConfig(policy=p)) for p in ("hll_only", "exact_only"))
+    rows = []
+    for s, e in zip(sketched.columns, exact.columns, strict=True):
+        low, high = s.result.bounds(5)
+        rows.append((e.column, e.result.distinct_count, not s.result.is_exact and low <= e.result.distinct_count <= high))
+    return spark.createDataFrame(rows, "column string, exact_count bigint, within boolean")
+
+
+@_query("""SELECT count(DISTINCT tagged)::BIGINT AS distinct_count, count(tagged)::BIGINT AS non_null_count FROM (
+SELECT 'integer:' || l_linenumber AS tagged FROM lineitem UNION ALL SELECT 'string:' || l_linenumber FROM lineitem UNION ALL SELECT 'integer:' || l_suppkey FROM lineitem)""")
+def tagged_values(spark, sf_dir):
+    df = _read(spark, sf_dir, "lineitem")
+    kinds = ((DtypeFamily.INTEGER, "l_linenumber"), (DtypeFamily.STRING, "l_linenumber"), (DtypeFamily.INTEGER, "l_suppkey"))
+    mixed = df.select(F.explode(F.array(*[tagged(family, F.col(c)) for family, c in kinds])).alias("mixed"))
+    result = cardinality.profile_cardinality(mixed, "mixed", config=AdaptiveCardinalityConfig(policy="exact_only"))
+    return spark.createDataFrame([(result.distinct_count, result.non_null_count)], "distinct_count bigint, non_null_count bigint")
+
+
+#: (family, expression here, expression of the other engine) of one column of every family that is counted.
+_FAMILIES = (
+    ("boolean", "user_id % 2 = 0", "user_id % 2 = 0"), ("integer", "cast(user_id % 100 as tinyint)", "user_id % 100"), ("floating", "cast(user_id % 1000 as float)", "user_id % 1000"),
+    ("decimal", "cast(user_id as decimal(14, 2))", "user_id::DECIMAL(14, 2)"), ("string", "event_type", "event_type"), ("binary", "cast(event_type as binary)", "event_type"),
+    ("date", "to_date(ts)", "ts::DATE"), ("timestamp", "cast(ts as timestamp)", "ts"), ("timestamp_ntz", "cast(ts as timestamp_ntz)", "ts"),
+    ("daytime_interval", "make_dt_interval(0, 0, cast(user_id % 50 as int))", "user_id % 50"), ("yearmonth_interval", "make_ym_interval(0, cast(user_id % 50 as int))", "user_id % 50"),
+    ("null", "null", "NULL"),
+)
+
+
+@_query(" UNION ALL ".join(f"SELECT '{name}' AS \"column\", '{name}' AS family, count({sql})::BIGINT AS non_null_count, count(DISTINCT {sql})::BIGINT AS distinct_count FROM events" for name, _, sql in _FAMILIES))
+def every_family_events(spark, sf_dir):
+    df = _read(spark, sf_dir, "events").selectExpr(*[f"{here} AS `{name}`" for name, here, _ in _FAMILIES])
+    report = cardinality.profile_cardinality(df, config=AdaptiveCardinalityConfig(policy="exact_only"))
+    rows = [(c.column, family_of(df.schema[c.column].dataType).value, c.result.non_null_count, c.result.distinct_count) for c in report.columns]
+    return spark.createDataFrame(rows, "column string, family string, non_null_count bigint, distinct_count bigint")
+
+
+@_query(_union("SELECT '{0[1]}' AS \"column\", {0[0]}::INT AS position, 'ok' AS status, count(*)::BIGINT AS row_count, (count(*) - count({0[1]}))::BIGINT AS null_count, count(DISTINCT {0[1]})::BIGINT AS distinct_count FROM orders", list(enumerate(ORDERS))))
+def json_report_orders(spark, sf_dir):
+    text = cardinality.profile_cardinality_json(_read(spark, sf_dir, "orders").select(*ORDERS), config=AdaptiveCardinalityConfig(policy="exact_only"))
+    fields = "row_count bigint, columns array<struct<column: string, position: int, status: string, result: struct<output: struct<distinct_count: bigint>, row_metrics: struct<null_count: bigint>>>>"
+    parsed = spark.createDataFrame([(text,)], "text string").select(F.from_json("text", fields).alias("r")).select("r.row_count", F.explode("r.columns").alias("c"))
+    return parsed.select("c.column", "c.position", "c.status", "row_count", "c.result.row_metrics.null_count", "c.result.output.distinct_count")
+
+
+@_query(_union("SELECT '{0}' AS \"column\", 'pandas' AS backend, count(*)::BIGINT AS row_count, count({0})::BIGINT AS non_null_count, count(DISTINCT {0})::BIGINT AS distinct_count FROM nation", ("n_nationkey", "n_name", "n_regionkey")))
+def pandas_intake_nation(spark, sf_dir):
+    """``nation`` has 25 rows at every scale."""
+    local = _read(spark, sf_dir, "nation").toPandas()
+    report = cardinality.profile_cardinality(local)
+    schema = discover_physical_schema(local)
+    rows = [(c.column, schema.backend.name.value, schema.dimensions.row_count, c.result.non_null_count, c.result.distinct_count) for c in report.columns]
+    return spark.createDataFrame(rows, "column string, backend string, row_count bigint, non_null_count bigint, distinct_count bigint")
+
+
+@_query("""SELECT 'exact' AS mode, count(*)::BIGINT AS row_count, 'executed_query' AS source FROM orders UNION ALL SELECT 'metadata_only', NULL, 'not_computed' UNION ALL SELECT 'stream', NULL, 'unbounded'""")
+def row_count_modes(spark, sf_dir):
+    df = _read(spark, sf_dir, "orders")
+    stream = spark.readStream.schema(df.schema).parquet(f"{sf_dir}/orders.parquet*")
+    cases = (("exact", df, RowCountMode.EXACT), ("metadata_only", df, RowCountMode.METADATA_ONLY), ("stream", stream, RowCountMode.EXACT))
+    found = [(name, discover_physical_schema(frame, row_count_mode=mode).as_dict()["dimensions"]) for name, frame, mode in cases]
+    return spark.createDataFrame([(name, d["row_count"], d["row_count_source"]) for name, d in found], "mode string, row_count bigint, source string")
+
+
+@_query(ORACLES["promotion_position_ordered"])
+def promotion_telemetry_ordered(spark, sf_dir):
+    df, config = _read(spark, sf_dir, "lineitem"), AdaptiveCardinalityConfig(exact_unique_threshold=100)
+    p = cardinality.profile_cardinality(df, "l_partkey", config=config, order_by=["l_orderkey", "l_linenumber"]).promotion
+    row = (p.row_position, p.non_null_position, p.unique_count, p.exact_state_bytes, p.reason.value)
+    return spark.createDataFrame([row], "row_position bigint, non_null_position bigint, unique_count bigint, state_bytes bigint, reason string")
+
+
+@_query("""WITH n AS (""" + _union("SELECT count(DISTINCT {0}) > 100 AS promoted FROM orders", ORDERS) + """)
+SELECT count(*)::BIGINT AS profiled_columns, round(avg((NOT promoted)::INT), 6)::DOUBLE AS exact_completion_rate, round(avg(promoted::INT), 6)::DOUBLE AS hll_promotion_rate,
+       count(*) FILTER (promoted)::BIGINT AS by_threshold, (count(*) FILTER (promoted) * 16384)::BIGINT AS sketch_bytes FROM n""")
+def telemetry_rates_orders(spark, sf_dir):
+    found = cardinality.profile_cardinality(_read(spark, sf_dir, "orders").select(*ORDERS), config=AdaptiveCardinalityConfig(exact_unique_threshold=100)).telemetry()
+    row = (found["profiled_columns"], round(found["exact_completion_rate"], 6), round(found["hll_promotion_rate"], 6), found["promotion_reasons"].get("exact_unique_threshold", 0), found["sketch_bytes"])
+    return spark.createDataFrame([row], "profiled_columns bigint, exact_completion_rate double, hll_promotion_rate double, by_threshold bigint, sketch_bytes bigint")
+
+
+@_query("SELECT 'embedding' AS \"column\", 'unsupported' AS status, count(*)::BIGINT AS row_count FROM embeddings")
+def all_unsupported_embeddings(spark, sf_dir):
+    return cardinality.profile_cardinality(_read(spark, sf_dir, "embeddings").select("embedding")).as_frame(spark).select("column", "status", "row_count")

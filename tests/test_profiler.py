@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import colsonde as C
+from colsonde import vocabulary as V
+from colsonde.functions import families
 from colsonde.operators import registers as R
 
 CONFIG = C.AdaptiveCardinalityConfig
@@ -280,3 +282,26 @@ def test_states_of_either_kind_merge(spark):
     for left, right in ((sketch, b), (b, sketch), (sketch, R.Sketch.of(b, "id", 12))):
         assert rows(R.merge_states(left, right, "id", 10)) == rows(whole)
     assert R.Sketch.of(spark.range(0), "id").is_empty() and not sketch.is_empty()
+
+
+def test_ordered_positions_and_telemetry(spark):
+    df = spark.createDataFrame([(0, None, "a"), (1, 1, "a"), (2, None, "a"), (3, 2, "a"), (4, 3, "a"), (5, 4, None)], "at int, v bigint, w string")
+    config = CONFIG(exact_unique_threshold=2)
+    report = C.profile_cardinality(df, config=config, order_by=["at"])
+    at = {c.column: c.result.promotion for c in report.columns}
+    assert (at["v"].row_position, at["v"].non_null_position, at["v"].unique_count) == (4, 3, 3)
+    assert (at["at"].row_position, at["at"].non_null_position) == (2, 3) and not at["w"].occurred
+    assert C.profile_cardinality(df, "v", config=config).promotion.row_position is None
+    with pytest.raises(KeyError):
+        C.profile_cardinality(df, "v", order_by=["none"])
+    told = report.telemetry()
+    assert (told["profiled_columns"], told["promotion_reasons"], told["sketch_bytes"]) == (3, {"exact_unique_threshold": 2}, 2 << 14)
+    nested = spark.createDataFrame([([1],)], "x array<int>")
+    assert C.profile_cardinality(nested).telemetry()["exact_completion_rate"] is None
+
+
+def test_tagged_values(spark):
+    df = spark.sql("SELECT 1 AS i, '1' AS s, CAST(NULL AS int) AS n")
+    tagged = families.tagged
+    row = df.select(tagged(V.DtypeFamily.INTEGER, F.col("i")).alias("i"), tagged(V.DtypeFamily.STRING, F.col("s")).alias("s"), tagged(V.DtypeFamily.INTEGER, F.col("n")).alias("n")).first()
+    assert bytes(row.i) == b"integer:1" and bytes(row.s) == b"string:1" and row.n is None
