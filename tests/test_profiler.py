@@ -154,6 +154,7 @@ def test_json(spark):
     assert set(found) == {"schema_version", "algorithm_version", "output", "row_metrics", "parameters", "exact_state", "hll_state", "promotion", "warnings", "lineage"}
     assert json.loads(C.profile_cardinality_json(spark.range(3)))["schema_version"] == "dataframe-cardinality-v1"
     assert C.json_safe(b"abc") == {"type": "bytes", "length": 3}
+    assert C.json_safe((1, float("inf"), object())) == [1, "inf", {"type": "builtins.object", "serialization": "omitted"}]
 
 
 def test_pandas(spark):
