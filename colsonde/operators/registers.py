@@ -138,18 +138,23 @@ class Sketch:
         return Sketch(merged(rows.select("register", "rank")), precision, contract)
 
 
-def merge_states(left: DataFrame | Sketch, right: DataFrame | Sketch, column: str, threshold: int, precision: int = DEFAULT, contract: HashConfiguration | None = None) -> DataFrame | Sketch:
+def merge_states(left: DataFrame | Sketch, right: DataFrame | Sketch, column: str, threshold: int, precision: int = DEFAULT, contract: HashConfiguration | None = None, policy: str = "two_stage") -> DataFrame | Sketch:
     """The state of the union of two states, each a frame with the values of ``column`` or a sketch.
 
     Two exact states stay exact, as a frame of distinct values, up to ``threshold`` values;
-    beyond it, and where either side is a sketch, the result is a sketch.
+    beyond it, and where either side is a sketch, the result is a sketch. Under the policy
+    exact_only the result is exact at any size, and sketches are an error.
     """
+    if policy not in ("two_stage", "exact_only"):
+        raise ValueError("policy must be two_stage or exact_only")
     states = sorted((left, right), key=lambda x: isinstance(x, DataFrame))
     if isinstance(states[0], Sketch):
+        if policy == "exact_only":
+            raise ValueError("a sketch cannot become an exact state")
         return states[0].absorb(states[1], column) if isinstance(states[1], DataFrame) else states[0].merge(states[1])
     value = Kernel.of(left.schema[column].dataType).value(named(column)).alias(column)
     both = left.select(value).unionByName(right.select(value)).where(named(column).isNotNull()).distinct()
-    if both.limit(threshold + 1).count() <= threshold:
+    if policy == "exact_only" or both.limit(threshold + 1).count() <= threshold:
         return both
     return Sketch.of(both, column, precision, contract)
 

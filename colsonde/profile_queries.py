@@ -174,7 +174,7 @@ def hll_merge_exact_and_sketch(spark, sf_dir):
 def exact_states_merged(spark, sf_dir):
     df = _read(spark, sf_dir, "lineitem")
     early, late = (df.where(c).select("l_suppkey") for c in ("l_linenumber <= 3", "l_linenumber >= 3"))
-    return registers.merge_states(early, late, "l_suppkey", 50_000)
+    return registers.merge_states(early, late, "l_suppkey", 50_000, policy="exact_only")
 
 
 @_query(_md5_estimate(_md5_registers("user_id", "events", 12, "date_trunc('week', ts)::DATE AS week,"), 12, "week,"))

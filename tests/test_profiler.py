@@ -12,6 +12,7 @@ import colsonde as C
 from colsonde import vocabulary as V
 from colsonde.functions import families
 from colsonde.operators import registers as R
+from colsonde.profile_queries import QUERIES
 
 CONFIG = C.AdaptiveCardinalityConfig
 
@@ -306,3 +307,19 @@ def test_tagged_values(spark):
     tagged = families.tagged
     row = df.select(tagged(V.DtypeFamily.INTEGER, F.col("i")).alias("i"), tagged(V.DtypeFamily.STRING, F.col("s")).alias("s"), tagged(V.DtypeFamily.INTEGER, F.col("n")).alias("n")).first()
     assert bytes(row.i) == b"integer:1" and bytes(row.s) == b"string:1" and row.n is None
+
+
+def test_exact_states_stay_exact_beyond_the_threshold(spark):
+    a, b = spark.range(60), spark.range(40, 120)
+    exact = R.merge_states(a, b, "id", 10, policy="exact_only")
+    assert sorted(r.id for r in exact.collect()) == list(range(120))
+    with pytest.raises(ValueError):
+        R.merge_states(R.Sketch.of(a, "id", 12), b, "id", 10, policy="exact_only")
+    with pytest.raises(ValueError):
+        R.merge_states(a, b, "id", 10, policy="exact")
+
+
+def test_merged_exact_states_are_all_values(spark, tmp_path):
+    spark.range(50_010).selectExpr("id AS l_suppkey", "CAST(id % 7 + 1 AS INT) AS l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["exact_states_merged"](spark, str(tmp_path))
+    assert found.columns == ["l_suppkey"] and sorted(r.l_suppkey for r in found.collect()) == list(range(50_010))
