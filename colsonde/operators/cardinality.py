@@ -305,9 +305,10 @@ def profile_cardinality_json(dataframe: object, column: object = ALL, *, indent:
 def promotion_position(df: DataFrame, column: str, order_by: list[str], config: AdaptiveCardinalityConfig | None = None) -> DataFrame:
     """Where exact state would be given up if rows came in the given order: one row, or none.
 
-    (row_position from 0, non_null_position from 1, unique_count, state_bytes, reason.) First
-    places of distinct values are found by aggregation, and only the first threshold + 1 of
-    them, or those that fill the memory budget, take part in the running sums.
+    (row_position from 0, non_null_position from 1, unique_count, state_bytes, reason.) Rows that
+    tie come by value, those that do not count last. First places of distinct values are found by
+    aggregation, and only the first threshold + 1 of them, or those that fill the memory budget,
+    take part in the running sums.
     """
     config = config or AdaptiveCardinalityConfig()
     kernel = Kernel.of(df.schema[column].dataType)
@@ -316,17 +317,16 @@ def promotion_position(df: DataFrame, column: str, order_by: list[str], config:
     firsts = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("o").alias("o"))
     bound = config.exact_memory_budget_bytes / config.memory_safety_factor
     most = min(config.exact_unique_threshold + 1, int(bound // SLOT_BYTES) + 1)
-    w = Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    lead = firsts.orderBy("o").limit(most)
-    running = lead.select("o", F.count(F.lit(1)).over(w).alias("unique_count"), F.ceil(F.sum(kernel.size(F.col("v"))).over(w) * config.memory_safety_factor).alias("state_bytes"))
+    w = Window.orderBy("o", "v").rowsBetween(Window.unboundedPreceding, 0)
+    lead = firsts.orderBy("o", "v").limit(most)
+    running = lead.select("o", "v", F.count(F.lit(1)).over(w).alias("unique_count"), F.ceil(F.sum(kernel.size(F.col("v"))).over(w) * config.memory_safety_factor).alias("state_bytes"))
     over_unique = F.col("unique_count") > config.exact_unique_threshold
     over_memory = F.col("state_bytes") > config.exact_memory_budget_bytes
     reason = F.when(over_unique & over_memory, V.PromotionReason.BOTH.value).when(over_unique, V.PromotionReason.UNIQUE_THRESHOLD.value).when(over_memory, V.PromotionReason.MEMORY_THRESHOLD.value)
-    crossing = running.withColumn("reason", reason).where("reason IS NOT NULL").orderBy("o").limit(1).first()
-    spark = df.sparkSession
-    schema = "row_position bigint, non_null_position bigint, unique_count bigint, state_bytes bigint, reason string"
-    if crossing is None:
-        return spark.createDataFrame([], schema)
-    at = F.struct(*[F.lit(x).cast(df.schema[name].dataType).alias(name) for x, name in zip(crossing.o, order_by, strict=True)])
-    counted = rows.where(F.col("o") <= at).agg((F.count(F.lit(1)) - 1).alias("row_position"), F.count("v").alias("non_null_position"))
-    return counted.select("*", F.lit(crossing.unique_count).cast("bigint").alias("unique_count"), F.lit(crossing.state_bytes).cast("bigint").alias("state_bytes"), F.lit(crossing.reason).alias("reason"))
+    crossing = running.withColumn("reason", reason).where("reason IS NOT NULL").orderBy("o", "v").limit(1)
+    at = crossing.select(F.col("o").alias("at"), F.col("v").alias("new"), F.col("unique_count").cast("bigint"), F.col("state_bytes").cast("bigint"), "reason")
+    # The first row with the new value is the one that crosses.
+    before = (F.col("o") < F.col("at")) | (F.col("v") < F.col("new"))
+    counts = F.count_if(before).alias("row_position"), (F.count_if(before & F.col("v").isNotNull()) + 1).alias("non_null_position")
+    told = ["unique_count", "state_bytes", "reason"]
+    return rows.join(F.broadcast(at), F.col("o") <= F.col("at")).groupBy(*told).agg(*counts).select("row_position", "non_null_position", *told)

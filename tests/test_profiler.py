@@ -323,3 +323,29 @@ def test_merged_exact_states_are_all_values(spark, tmp_path):
     spark.range(50_010).selectExpr("id AS l_suppkey", "CAST(id % 7 + 1 AS INT) AS l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
     found = QUERIES["exact_states_merged"](spark, str(tmp_path))
     assert found.columns == ["l_suppkey"] and sorted(r.l_suppkey for r in found.collect()) == list(range(50_010))
+
+
+def test_promotion_position_among_ties(spark):
+    """Rows that tie come by value, those without one last, whatever order they are read in."""
+    rows = [(0, 7), (1, 9), (1, 7), (1, None), (1, 9), (1, 8), (1, 8), (2, 5)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "at int, v bigint").repartition(3)
+        for threshold, want in ((1, (2, 3, 2)), (2, (4, 5, 3)), (3, (7, 7, 4))):
+            r = C.promotion_position(df, "v", ["at"], CONFIG(exact_unique_threshold=threshold)).collect()
+            assert [(x.row_position, x.non_null_position, x.unique_count) for x in r] == [want]
+    texts = spark.createDataFrame([(0, "aaaa"), (0, "b"), (0, "b"), (0, "cc")], "at int, v string").repartition(4)
+    r = C.promotion_position(texts, "v", ["at"], CONFIG(exact_memory_budget_bytes=28, memory_safety_factor=1.0)).first()
+    assert (r.row_position, r.unique_count, r.state_bytes, r.reason) == (1, 2, 53, "exact_memory_budget")
+    r = C.promotion_position(texts, "v", ["at"], CONFIG(exact_memory_budget_bytes=1)).first()
+    assert (r.row_position, r.non_null_position, r.unique_count) == (0, 1, 1)
+
+
+def _tied_lineitem(spark, folder):
+    """Orders of two lines of one number each, whose parts are all different: the 101st part is in row 100 in any order of ties."""
+    spark.range(300).selectExpr("id DIV 2 AS l_orderkey", "id AS l_partkey", "1 AS l_linenumber").write.parquet(f"{folder}/lineitem.parquet")
+    return (100, 101, 101, 4040, "exact_unique_threshold")
+
+
+def test_promotion_position_query_among_ties(spark, tmp_path):
+    want = _tied_lineitem(spark, tmp_path)
+    assert [tuple(r) for r in QUERIES["promotion_position_ordered"](spark, str(tmp_path)).collect()] == [want]
