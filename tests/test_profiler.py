@@ -349,3 +349,12 @@ def _tied_lineitem(spark, folder):
 def test_promotion_position_query_among_ties(spark, tmp_path):
     want = _tied_lineitem(spark, tmp_path)
     assert [tuple(r) for r in QUERIES["promotion_position_ordered"](spark, str(tmp_path)).collect()] == [want]
+
+
+def test_promotion_telemetry_among_ties(spark, tmp_path):
+    want = _tied_lineitem(spark, tmp_path)
+    assert [tuple(r) for r in QUERIES["promotion_telemetry_ordered"](spark, str(tmp_path)).collect()] == [want]
+    tied = spark.createDataFrame([(1, 5, 3), (1, 6, 3), (2, 7, 3), (2, 8, 3)], "at int, v bigint, w bigint")
+    report = C.profile_cardinality(tied, config=CONFIG(exact_unique_threshold=2), order_by=["at"])
+    at = {c.column: c.result.promotion for c in report.columns}
+    assert (at["v"].row_position, at["v"].non_null_position, at["v"].unique_count) == (2, 3, 3) and not at["w"].occurred
