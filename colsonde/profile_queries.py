@@ -208,7 +208,8 @@ def adaptive_profile_orders_forced(spark, sf_dir):
 @_query("""SELECT 'vec_id' AS "column", 'ok' AS status, count(*)::BIGINT AS row_count, count(DISTINCT vec_id)::BIGINT AS distinct_count FROM embeddings
 UNION ALL SELECT 'embedding', 'unsupported', count(*)::BIGINT, NULL FROM embeddings UNION ALL SELECT 'label', 'ok', count(*)::BIGINT, count(DISTINCT label)::BIGINT FROM embeddings""")
 def unsupported_isolation_embeddings(spark, sf_dir):
-    return cardinality.profile_cardinality(_read(spark, sf_dir, "embeddings")).as_frame(spark).select("column", "status", "row_count", "distinct_count")
+    config = AdaptiveCardinalityConfig(policy="exact_only")
+    return cardinality.profile_cardinality(_read(spark, sf_dir, "embeddings"), config=config).as_frame(spark).select("column", "status", "row_count", "distinct_count")
 
 
 @_query(_union("SELECT '{0}' AS \"column\", round(count(DISTINCT {0})::DOUBLE / count({0}), 9) AS distinct_ratio, round(1 - count(DISTINCT {0})::DOUBLE / count({0}), 9) AS duplicate_ratio FROM orders", ORDERS))

@@ -358,3 +358,9 @@ def test_promotion_telemetry_among_ties(spark, tmp_path):
     report = C.profile_cardinality(tied, config=CONFIG(exact_unique_threshold=2), order_by=["at"])
     at = {c.column: c.result.promotion for c in report.columns}
     assert (at["v"].row_position, at["v"].non_null_position, at["v"].unique_count) == (2, 3, 3) and not at["w"].occurred
+
+
+def test_isolation_query_counts_exactly_beyond_the_threshold(spark, tmp_path):
+    spark.range(60_000).selectExpr("id AS vec_id", "array(CAST(id AS FLOAT)) AS embedding", "CAST(id % 10 AS INT) AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = QUERIES["unsupported_isolation_embeddings"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [("vec_id", "ok", 60_000, 60_000), ("embedding", "unsupported", 60_000, None), ("label", "ok", 60_000, 10)]
