@@ -20,6 +20,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 #: Columns whose text is the same in every engine, so that md5 hashes are too.
 PORTABLE = tuple(c for c in LINEITEM if c != "l_extendedprice")
+#: The order of lines, in which many tie, and then that in which they are stored.
+LINE_ORDER = ["l_orderkey", "l_linenumber", "file", "row"]
 ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 QUERIES, ORACLES = {}, {}
 
@@ -28,6 +30,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The frame with each row's place in its files, so that rows that tie can come as they are stored."""
+    return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def _query(sql: str | None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -233,8 +240,8 @@ WITH o AS (SELECT l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumbe
 f AS (SELECT l_partkey, min(pos) AS pos FROM o GROUP BY 1), c AS (SELECT pos, row_number() OVER (ORDER BY pos) AS n FROM f)
 SELECT min(pos)::BIGINT AS row_position, (min(pos) + 1)::BIGINT AS non_null_position, min(n)::BIGINT AS unique_count, ceil(min(n) * 32 * 1.25)::BIGINT AS state_bytes, 'exact_unique_threshold' AS reason FROM c WHERE n > 100""")
 def promotion_position_ordered(spark, sf_dir):
-    df = _read(spark, sf_dir, "lineitem")
-    return cardinality.promotion_position(df, "l_partkey", ["l_orderkey", "l_linenumber"], AdaptiveCardinalityConfig(exact_unique_threshold=100))
+    df = _stored(_read(spark, sf_dir, "lineitem"))
+    return cardinality.promotion_position(df, "l_partkey", LINE_ORDER, AdaptiveCardinalityConfig(exact_unique_threshold=100))
 
 
 @_query("SELECT 'embeddings' AS table_name, 3::BIGINT AS column_count, 2::BIGINT AS successful, 1::BIGINT AS unsupported, 1::BIGINT AS warnings UNION ALL SELECT 'orders', 6, 6, 0, 0")
@@ -380,8 +387,8 @@ def row_count_modes(spark, sf_dir):
 
 @_query(ORACLES["promotion_position_ordered"])
 def promotion_telemetry_ordered(spark, sf_dir):
-    df, config = _read(spark, sf_dir, "lineitem"), AdaptiveCardinalityConfig(exact_unique_threshold=100)
-    p = cardinality.profile_cardinality(df, "l_partkey", config=config, order_by=["l_orderkey", "l_linenumber"]).promotion
+    df, config = _stored(_read(spark, sf_dir, "lineitem")), AdaptiveCardinalityConfig(exact_unique_threshold=100)
+    p = cardinality.profile_cardinality(df, "l_partkey", config=config, order_by=LINE_ORDER).promotion
     row = (p.row_position, p.non_null_position, p.unique_count, p.exact_state_bytes, p.reason.value)
     return spark.createDataFrame([row], "row_position bigint, non_null_position bigint, unique_count bigint, state_bytes bigint, reason string")
 

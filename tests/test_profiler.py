@@ -364,3 +364,11 @@ def test_isolation_query_counts_exactly_beyond_the_threshold(spark, tmp_path):
     spark.range(60_000).selectExpr("id AS vec_id", "array(CAST(id AS FLOAT)) AS embedding", "CAST(id % 10 AS INT) AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
     found = QUERIES["unsupported_isolation_embeddings"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in found] == [("vec_id", "ok", 60_000, 60_000), ("embedding", "unsupported", 60_000, None), ("label", "ok", 60_000, 10)]
+
+
+@pytest.mark.parametrize("query", ["promotion_position_ordered", "promotion_telemetry_ordered"])
+def test_promotion_queries_take_ties_as_stored(spark, tmp_path, query):
+    """Two files hold the same orders, each of three tied lines, parts falling: the 101st part is the second line of order 33 in the first file."""
+    rows = spark.range(0, 600, 1, 2).selectExpr("id % 300 DIV 3 AS l_orderkey", "300 - id % 300 AS l_partkey", "1 AS l_linenumber")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in QUERIES[query](spark, str(tmp_path)).collect()] == [(199, 200, 101, 4040, "exact_unique_threshold")]
